@@ -90,14 +90,14 @@ def clause_tokens(tokens: DataFrame, keys: list[str], stop: Column | None = None
         .withColumn("up", up)
         .withColumn("up", F.aggregate(rounds, F.col("up"), lambda acc, _: F.transform(acc, lambda i: F.get(acc, i))))
         .withColumn("kept", F.array_except(F.transform(tk, lambda t: t["pos"]), F.array_except(punct, parents)))
-        .withColumn("hs", F.transform(F.filter(tk, is_head), lambda t: t["pos"]))
-        .select(*keys, "tk", "up", "hs", F.explode("kept").alias("i"))
+        .withColumn("has_named", has_named)
+        .select(*keys, "tk", "up", "has_named", F.explode("kept").alias("i"))
         .select(*keys, F.get("up", F.col("i")).alias("clause"), F.get("tk", F.col("i")).alias("t"),
-                F.get("tk", F.get("up", F.col("i"))).alias("h"), (F.size("hs") > 0).alias("any_head"))
+                F.get("tk", F.get("up", F.col("i"))).alias("h"), "has_named")
     )
     own = F.col("h.head") == F.col("h.pos")
-    head_ok = F.col("h.rel").isin("root", "conj") | own
-    return rows.where(head_ok & F.col("any_head")).select(*keys, "clause", "t.*")
+    head_ok = F.col("h.rel").isin("root", "conj") | ((own & ~F.col("has_named")) if fallback else own)
+    return rows.where(head_ok).select(*keys, "clause", "t.*")
 
 
 def clauses(tokens: DataFrame, keys: list[str], stop: Column | None = None, fallback: bool = False) -> DataFrame:

@@ -1 +1,48 @@
+"""Clustering on the vector and part tables."""
 
+from pyspark.sql import functions as F
+
+from opinara.operators import density as dn
+from opinara.plans.registry import query
+
+
+def part_points(t):
+    from opinara.operators import tables as tb
+
+    scaled = tb.min_max_scaled(t.part.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])
+    return scaled.select(F.lit("all").alias("g"), F.col("p_partkey").alias("id"), F.array("p_size", "p_retailprice").alias("vec"))
+
+
+SCALED = """scaled AS (SELECT p_partkey AS id, (p_size - s0) / (s1 - s0) AS x, (p_retailprice - r0) / (r1 - r0) AS y FROM part,
+    (SELECT min(p_size) AS s0, max(p_size) AS s1, min(p_retailprice) AS r0, max(p_retailprice) AS r1 FROM part))"""
+
+
+def dbscan_sql(points, near, key, min_pts):
+    """DBSCAN by recursion over the full edge list."""
+    return f"""WITH RECURSIVE {points}, near AS ({near}), core AS (SELECT g, a AS id FROM near GROUP BY ALL HAVING count(*) >= {min_pts}),
+    ce AS (SELECT n.g, n.a, n.b FROM near n JOIN core x ON x.g = n.g AND x.id = n.a JOIN core y ON y.g = n.g AND y.id = n.b),
+    reach(g, id, root) USING KEY (g, id) AS (SELECT g, id, id FROM core UNION
+        SELECT e.g, e.a, min(r.root) FROM reach r JOIN ce e ON e.g = r.g AND e.b = r.id JOIN recurring.reach c ON c.g = e.g AND c.id = e.a
+        WHERE r.root < c.root GROUP BY ALL),
+    lab AS (SELECT g, id, root AS label FROM reach),
+    border AS (SELECT n.g, n.a AS id, min(l.label) AS label FROM near n JOIN lab l ON l.g = n.g AND l.id = n.b
+        WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.g = n.g AND c.id = n.a) GROUP BY n.g, n.a)
+    SELECT p.g, p.id, coalesce(l.label, b.label, -1) AS label FROM {key} p LEFT JOIN lab l ON l.g = p.g AND l.id = p.id
+        LEFT JOIN border b ON b.g = p.g AND b.id = p.id"""
+
+
+@query("c4_dbscan", dbscan_sql(SCALED + ", pts AS (SELECT 'all' AS g, id, x, y FROM scaled)",
+       "SELECT a.g, a.id AS a, b.id AS b FROM pts a JOIN pts b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.02 + 1e-9", "pts", 4))
+def _(t):
+    return dn.dbscan(part_points(t), "g", "id", "vec", 0.02, 4, "euclidean")
+
+
+@query("c5_dbscan_cosine", dbscan_sql("pts AS (SELECT CAST(product AS VARCHAR) AS g, id, vec FROM vectors)",
+       "SELECT a.g, a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.g = b.g AND 1 - list_cosine_similarity(a.vec, b.vec) <= 0.75 + 1e-9", "pts", 3))
+def _(t):
+    return dn.dbscan(t.vectors, "product", "id", "vec", 0.75, 3)
+
+
+@query("c8_hdbscan")
+def _(t):
+    return dn.hdbscan(t.vectors, "product", "id", "vec", 3, 3)
