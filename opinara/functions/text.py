@@ -156,7 +156,7 @@ def parse_list(c: Column) -> Column:
 
 def apply_suggestions(c: Column, suggestions: Column) -> Column:
     """Replace (pos, len, text) spans, zero-based, from right to left."""
-    right_first = F.reverse(F.array_sort(suggestions))
+    right_first = F.reverse(F.sort_array(suggestions))
     return F.aggregate(
         right_first,
         c,

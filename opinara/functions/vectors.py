@@ -22,16 +22,20 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(as_double(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once: an expression used inside a
+    lambda is otherwise evaluated again for every element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def normalise(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = norm(v)
-    return F.when(n == 0, as_double(v)).otherwise(F.transform(as_double(v), lambda x: x / n))
+    return bind(norm(v), lambda n: F.transform(as_double(v), lambda x: F.when(n == 0, x).otherwise(x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 when a side is the zero vector."""
-    size = norm(a) * norm(b)
-    return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
+    return bind(norm(a) * norm(b), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n))
 
 
 def euclidean(a: Column, b: Column) -> Column:

@@ -30,12 +30,12 @@ def in_categories(reviews: DataFrame, categories: str | list[str] | None) -> Dat
 
 
 def _hits(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """One row per sentence and lexicon term in it, with how often it occurs."""
-    words = sentences.select("id", "category", "product", "rating", "spos", "sentence",
+    """One row per sentence and lexicon term in it, with how often it occurs.  Only
+    keys travel with the words; the sentence text is looked up for the few hits."""
+    words = sentences.select("id", "category", "product", "rating", "spos",
                              F.explode(tx.term_list(F.col("sentence"))).alias("term"))
-    found = words.join(lexicon, "term")
-    return found.groupBy("id", "category", "product", "rating", "spos", "grp", "aspect", "term").agg(
-        F.count("*").alias("hits"), F.first("sentence").alias("sentence"))
+    return words.join(lexicon, "term").groupBy(
+        "id", "category", "product", "rating", "spos", "grp", "aspect", "term").agg(F.count("*").alias("hits"))
 
 
 def mentions(sentences: DataFrame, lexicon: DataFrame, tokens: DataFrame, skip: Column | None = None) -> DataFrame:
@@ -44,15 +44,15 @@ def mentions(sentences: DataFrame, lexicon: DataFrame, tokens: DataFrame, skip:
     first sentence (adjectives and verbs above or below it in the tree)."""
     hits = _hits(sentences, lexicon)
     per = hits.groupBy("id", "category", "product", "rating", "grp", "aspect", "term").agg(
-        F.max_by("sentence", F.struct("hits", -F.col("spos"))).alias("example"),
-        F.min("spos").alias("first_spos"))
+        F.max_by("spos", F.struct("hits", -F.col("spos"))).alias("spos"), F.min("spos").alias("first_spos"))
+    per = per.join(sentences.select("id", "spos", F.col("sentence").alias("example")), ["id", "spos"]).drop("spos")
     firsts = per.select("id", F.col("first_spos").alias("spos"), "term")
     targets = tokens.select("id", "spos", F.col("pos").alias("target"), F.col("lemma").alias("term")).join(
         firsts, ["id", "spos", "term"])
     skip = F.array().cast("array<string>") if skip is None else skip
     related = tf.related_words(tokens, targets, ["id", "spos"], skip)
     chars = related.join(targets, ["id", "spos", "target"]).groupBy("id", "term").agg(
-        F.array_sort(F.collect_set("word")).alias("characteristics"))
+        F.sort_array(F.collect_set("word")).alias("characteristics"))
     return per.join(chars, ["id", "term"], "left").select(
         "id", "category", "product", "grp", "aspect", "term", "example",
         tx.rating_class(F.col("rating")).alias("sentiment"),
@@ -95,7 +95,7 @@ def top_list(counts: DataFrame, keys: list[str], item: str, n: int, name: str) -
     """The ``n`` most frequent items per key joined by commas; ties by item."""
     totals = counts.groupBy(*keys, item).agg(F.sum("n").alias("n"))
     top = first_per(totals, keys, [F.desc("n"), F.asc(item)], n)
-    return top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rk", item))).alias("x")).select(
+    return top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rk", item))).alias("x")).select(
         *keys, F.array_join(F.transform("x", lambda t: t[item]), ", ").alias(name))
 
 
@@ -132,7 +132,7 @@ def summary(rolled: DataFrame, phrases: DataFrame, top: int = 10) -> DataFrame:
         here = F.col("sentiment") == s
         said = top_list(spoken.where(here), PRODUCT, "phrase", top, f"{s}_aspects")
         empty = silent.where(here).groupBy(*PRODUCT).agg(
-            F.array_join(F.array_sort(F.collect_set("aspect")), ", ").alias("_e"))
+            F.array_join(F.sort_array(F.collect_set("aspect")), ", ").alias("_e"))
         out = out.join(said, PRODUCT, "left").join(empty, PRODUCT, "left")
         out = out.withColumn(f"{s}_empty_aspects", F.when(F.col(f"{s}_aspects").isNull(), F.col("_e"))).drop("_e")
     return out
@@ -168,7 +168,7 @@ def price_advice(summed: DataFrame) -> DataFrame:
 
 
 def product_cards(rolled: DataFrame, phrases: DataFrame, traits: DataFrame, intro: str = "Strong points", top: int = 5) -> DataFrame:
-    titles = rolled.groupBy(*PRODUCT).agg(F.array_join(F.array_sort(F.collect_set("aspect")), " ").alias("names"))
+    titles = rolled.groupBy(*PRODUCT).agg(F.array_join(F.sort_array(F.collect_set("aspect")), " ").alias("names"))
     good = phrases.join(rolled.where(F.col("sentiment") == "positive").select(*ASPECT), ASPECT)
     best = top_list(good, PRODUCT, "phrase", top, "advantages")
     keys = top_list(traits, PRODUCT, "word", top, "key_features")

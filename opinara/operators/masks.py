@@ -129,7 +129,7 @@ def mask_flags(rows: DataFrame, vec: str, masks: DataFrame, threshold: float = 0
     """Array of the masks a row is close to; ``flags`` is empty for a row to keep."""
     sims = mask_similarities(rows, vec, masks)
     hits = F.filter(F.map_entries("sims"), lambda e: e["value"] > threshold)
-    return sims.withColumn("flags", F.array_sort(F.transform(hits, lambda e: e["key"]))).drop("sims")
+    return sims.withColumn("flags", F.sort_array(F.transform(hits, lambda e: e["key"]))).drop("sims")
 
 
 def split_by_mask(rows: DataFrame, vec: str, masks: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:

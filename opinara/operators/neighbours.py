@@ -30,7 +30,7 @@ def distinct_points(df: DataFrame, group: str, key: str, vec: str, metric: str)
     named by its smallest id.  Zero vectors have no cosine and stay out of both."""
     v = vx.as_double(F.col(vec))
     if metric == "cosine":
-        v = vx.normalise(F.transform(v, lambda x: F.round(x, 12)))
+        v = vx.normalise(v)
     rows = df.select(F.col(group).cast("string").alias("g"), F.col(key).cast("long").alias("id"), v.alias("v"))
     if metric == "cosine":
         rows = rows.where(F.exists("v", lambda x: x != 0))

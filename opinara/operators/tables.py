@@ -69,7 +69,7 @@ def ordered_text(df: DataFrame, keys: list[str], order: str, text: str, sep: str
     if part_rows:
         df = df.withColumn("part", F.floor(F.col(order) / part_rows).cast("long"))
         by.append("part")
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     grouped = df.groupBy(*by).agg(pairs.alias("p"), F.count("*").alias("n"))
     return grouped.select(*by, "n", F.array_join(F.transform("p", lambda x: x["t"]), sep).alias(name))
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from opinara.functions import text as tx
+from opinara.functions import vectors as vx
 
 
 def rank_small(df: DataFrame, order: list[Column], name: str = "rk") -> DataFrame:
@@ -53,7 +54,7 @@ TOKEN = ["pos", "head", "text", "lemma", "tag", "rel"]
 
 def _sentence_rows(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """One row per sentence with its tokens in order (positions run 0..n-1)."""
-    return tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*TOKEN))).alias("tk"))
+    return tokens.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*TOKEN))).alias("tk"))
 
 
 def clause_tokens(tokens: DataFrame, keys: list[str], stop: Column | None = None,
@@ -71,17 +72,15 @@ def clause_tokens(tokens: DataFrame, keys: list[str], stop: Column | None = None
     named = lambda t: t["rel"].isin("root", "conj")
     has_named = F.exists(tk, named)
 
-    def is_head(t):
+    def is_end(t, any_named):
         own = t["head"] == t["pos"]
-        return (named(t) | (~has_named & own)) if fallback else (named(t) | own)
-
-    def is_end(t):
-        end = is_head(t)
+        end = (named(t) | (~any_named & own)) if fallback else (named(t) | own)
         if stop is not None:
             end = end | F.array_contains(stop, t["lemma"]) | t["text"].rlike(r"\p{Nd}|" + tx.PUNCT)
         return end
 
-    up = F.transform(tk, lambda t: F.when(is_end(t), t["pos"]).otherwise(t["head"]))
+    up = vx.bind(has_named, lambda any_named: F.transform(
+        tk, lambda t: F.when(is_end(t, any_named), t["pos"]).otherwise(t["head"])))
     rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("tk") + 1)).cast("int") + 1)
     punct = F.transform(F.filter(tk, lambda t: t["text"].rlike(tx.PUNCT)), lambda t: t["pos"])
     parents = F.transform(F.filter(tk, lambda t: t["head"] != t["pos"]), lambda t: t["head"])
@@ -91,10 +90,11 @@ def clause_tokens(tokens: DataFrame, keys: list[str], stop: Column | None = None
         .withColumn("up", F.aggregate(rounds, F.col("up"), lambda acc, _: F.transform(acc, lambda i: F.get(acc, i))))
         .withColumn("kept", F.array_except(F.transform(tk, lambda t: t["pos"]), F.array_except(punct, parents)))
         .withColumn("has_named", has_named)
-        .select(*keys, "tk", "up", "has_named", F.explode("kept").alias("i"))
-        .select(*keys, F.get("up", F.col("i")).alias("clause"), F.get("tk", F.col("i")).alias("t"),
-                F.get("tk", F.get("up", F.col("i"))).alias("h"), "has_named")
     )
+    # the rows are put together inside the array, so exploding copies no array
+    one = F.transform("kept", lambda i: F.struct(
+        F.get("up", i).alias("clause"), F.get("tk", i).alias("t"), F.get("tk", F.get("up", i)).alias("h")))
+    rows = rows.select(*keys, "has_named", F.explode(one).alias("x")).select(*keys, "has_named", "x.*")
     own = F.col("h.head") == F.col("h.pos")
     head_ok = F.col("h.rel").isin("root", "conj") | ((own & ~F.col("has_named")) if fallback else own)
     return rows.where(head_ok).select(*keys, "clause", "t.*")
@@ -104,7 +104,7 @@ def clauses(tokens: DataFrame, keys: list[str], stop: Column | None = None, fall
     """One row per clause: its text and its tokens (pos, text, lemma, tag, rel) in order."""
     part = F.struct("pos", "text", "lemma", "tag", "rel")
     grouped = clause_tokens(tokens, keys, stop, fallback).groupBy(*keys, "clause").agg(
-        F.array_sort(F.collect_list(part)).alias("toks")
+        F.sort_array(F.collect_list(part)).alias("toks")
     )
     joined = F.array_join(F.transform("toks", lambda t: t["text"]), " ")
     return grouped.withColumn("text", tx.tighten_punctuation(joined))
@@ -152,7 +152,7 @@ def key_phrases(tokens: DataFrame, keys: list[str]) -> DataFrame:
     kept = run.withColumn("cut", F.sum(breaks.cast("int")).over(inside)).where(
         (F.col("run") > 0) & (F.col("cut") == 0) & (start | follow)
     )
-    phrases = kept.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("p"))
+    phrases = kept.groupBy(*keys, "run").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("p"))
     return phrases.where(F.size("p") > 1).select(
         *keys, "run", F.array_join(F.transform("p", lambda t: t["text"]), " ").alias("phrase")
     ).where(F.length(F.trim("phrase")) > 2)
@@ -203,16 +203,17 @@ def related_words(tokens: DataFrame, targets: DataFrame, keys: list[str], skip:
     out; a word under the negation particle also counts as ``<particle>_<lemma>``.
     """
     wanted = targets.select(*keys, "target").distinct().groupBy(*keys).agg(
-        F.array_sort(F.collect_list("target")).alias("targets")
+        F.sort_array(F.collect_list("target")).alias("targets")
     )
     heads = F.transform("tk", lambda t: t["head"])
+    linked = F.transform(_tree_links(heads, "targets"), lambda x: F.struct(
+        x["target"].alias("target"), x["below"].alias("below"), F.get("tk", x["other"]).alias("o"),
+        F.get("tk", F.get("tk", x["other"])["head"]).alias("p")))
     hits = (
         _sentence_rows(tokens.join(wanted.select(*keys), keys, "left_semi"), keys)
         .join(wanted, keys)
-        .withColumn("link", F.explode(_tree_links(heads, "targets")))
-        .select(*keys, F.col("link.target").alias("target"), F.col("link.below").alias("below"),
-                F.get("tk", F.col("link.other")).alias("o"),
-                F.get("tk", F.get("tk", F.col("link.other"))["head"]).alias("p"))
+        .select(*keys, F.explode(linked).alias("x"))
+        .select(*keys, "x.*")
     )
     plain = F.when(
         F.col("o.tag").isin("ADJ", "VERB") & ~F.array_contains(skip, F.col("o.lemma"))
@@ -231,12 +232,13 @@ def related_words(tokens: DataFrame, targets: DataFrame, keys: list[str], skip:
 def term_features(sentences: DataFrame, stop: DataFrame, key: str = "id") -> DataFrame:
     """Per text and word the statistics of the published unsupervised keyphrase
     method YAKE: casing, position, frequency, relatedness, dispersion, score."""
-    raw = F.regexp_extract_all("sentence", F.lit(tx.WORD), F.lit(0))
-    toks = sentences.select(key, "spos", raw.alias("w")).select(key, "spos", "w", F.posexplode("w").alias("i", "raw"))
-    toks = toks.select(
-        key, "spos", "i", "raw", F.lower("raw").alias("word"),
-        F.lower(F.get("w", F.col("i") - 1)).alias("left"), F.lower(F.get("w", F.col("i") + 1)).alias("right"),
-    ).join(stop.select("word"), "word", "left_anti")
+    w = F.col("w")
+    beside = F.arrays_zip(w.alias("raw"), F.concat(F.array(F.lit(None).cast("string")), w).alias("left"),
+                          F.slice(w, 2, F.size(w)).alias("right"))
+    toks = sentences.select(key, "spos", F.regexp_extract_all("sentence", F.lit(tx.WORD), F.lit(0)).alias("w")).where(
+        F.size("w") > 0).select(key, "spos", F.posexplode(beside).alias("i", "x")).where(F.col("x.raw").isNotNull())
+    toks = toks.select(key, "spos", "i", "x.raw", F.lower("x.raw").alias("word"), F.lower("x.left").alias("left"),
+                       F.lower("x.right").alias("right")).join(stop.select("word"), "word", "left_anti")
     upper = (F.upper("raw") == F.col("raw")) & (F.length("raw") > 1) & F.col("raw").rlike(r"\p{L}")
     capital = F.col("raw").rlike(r"^\p{Lu}") & (F.col("i") > 0) & ~upper
     per = toks.groupBy(key, "word").agg(
@@ -285,7 +287,7 @@ def keyphrases(sentences: DataFrame, stop: DataFrame, key: str = "id", n: int =
         F.first(F.aggregate(part, F.lit(1.0), lambda a, t: a * t["score"])).alias("prod"),
         F.first(F.aggregate(part, F.lit(0.0), lambda a, t: a + t["score"])).alias("total"))
     ranked = stats.withColumn("score", F.round(F.col("prod") / (F.col("tf") * (1 + F.col("total"))), 9))
-    cand = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("score", "phrase"))).alias("c"))
+    cand = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("score", "phrase"))).alias("c"))
     longest = lambda a, b: F.greatest(F.length(a["phrase"]), F.length(b["phrase"]))
     near = lambda acc, c: F.exists(
         acc, lambda a: 1 - F.levenshtein(a["phrase"], c["phrase"]) / longest(a, c) > dedup)
@@ -326,6 +328,6 @@ def correct_texts(texts: DataFrame, fixes: DataFrame, key: str = "id", text: str
     touched = parts.withColumn("word", F.lower("part")).join(fixes, "word", "left")
     whole = touched.groupBy(key).agg(
         F.count("suggestion").alias("changes"),
-        F.array_sort(F.collect_list(F.struct("i", F.coalesce("suggestion", "part").alias("part")))).alias("p"))
+        F.sort_array(F.collect_list(F.struct("i", F.coalesce("suggestion", "part").alias("part")))).alias("p"))
     return whole.where("changes > 0").select(
         key, F.array_join(F.transform("p", lambda t: t["part"]), "").alias("corrected_text"))

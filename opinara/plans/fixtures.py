@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from opinara.functions import text as tx
 from opinara.functions import vectors as vx
+from opinara.operators import aspects as asp
 from opinara.operators import textflow as tf
-from opinara.session import spread
+from opinara.session import cut, spread
 
 LEXICON_SIZE = 40
 STOP_SIZE = 20
@@ -106,10 +107,13 @@ class Tables:
         )
 
     @cached_property
-    def aspects(self) -> DataFrame:
-        from opinara.operators import aspects
+    def mentions(self) -> DataFrame:
+        """Written once: the roll-up, the phrases and the traits all start from it."""
+        return cut(asp.mentions(self.sentences, self.lexicon, self.tokens))
 
-        return aspects.roll_up(aspects.mentions(self.sentences, self.lexicon, self.tokens))
+    @cached_property
+    def aspects(self) -> DataFrame:
+        return asp.roll_up(self.mentions)
 
 
 CTES: dict[str, str] = {
@@ -141,6 +145,29 @@ CTES: dict[str, str] = {
         FROM vectors""",
     "masks": """SELECT product AS mask_id, 'm' || (product % 4) AS mask, list(x ORDER BY k) AS vec
         FROM (SELECT product, k, avg(x) AS x FROM dims GROUP BY product, k) GROUP BY product""",
+    "uptree": """SELECT id, spos, pos, head AS anc FROM tokens WHERE head <> pos UNION ALL
+        SELECT u.id, u.spos, u.pos, t.head FROM uptree u JOIN tokens t ON t.id = u.id AND t.spos = u.spos AND t.pos = u.anc
+        WHERE t.head <> t.pos""",
+    "spoken": """SELECT h.id, s.category, s.product, s.rating, grp, aspect, term, max_by(s.sentence, (hits, -h.spos)) AS example, min(h.spos) AS spos
+        FROM (SELECT w.id, w.spos, l.grp, l.aspect, l.term, count(*) AS hits FROM words w JOIN lexicon l ON l.term = w.word GROUP BY ALL) h
+        JOIN sentences s ON s.id = h.id AND s.spos = h.spos GROUP BY ALL""",
+    "traits": """SELECT DISTINCT x.id, x.term, t.lemma AS word FROM (
+            SELECT p.id, p.spos, p.term, t.pos AS target FROM spoken p JOIN tokens t ON t.id = p.id AND t.spos = p.spos AND t.lemma = p.term) x
+        JOIN (SELECT id, spos, anc AS target, pos AS other FROM uptree UNION ALL SELECT id, spos, pos, anc FROM uptree) l
+            ON l.id = x.id AND l.spos = x.spos AND l.target = x.target
+        JOIN tokens t ON t.id = l.id AND t.spos = l.spos AND t.pos = l.other WHERE t.tag IN ('ADJ', 'VERB')""",
+    "mention": """SELECT p.id, category, product, grp, aspect, term, example, CASE WHEN rating IN (4, 5) THEN 'positive' ELSE 'negative' END AS sentiment,
+        (SELECT count(*) FROM traits c WHERE c.id = p.id AND c.term = p.term) AS n_traits FROM spoken p""",
+    "rolled": """SELECT category, product, aspect, min(grp) AS grp, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (sentiment = 'positive') AS positive,
+        count(*) FILTER (sentiment = 'negative') AS negative, CAST(0 AS BIGINT) AS neutral,
+        CAST(coalesce(sum(n) FILTER (sentiment = 'positive'), 0) AS BIGINT) AS rating_positive,
+        CAST(coalesce(sum(n) FILTER (sentiment = 'negative'), 0) AS BIGINT) AS rating_negative, CAST(sum(tr) AS BIGINT) AS traits, min(example) AS example,
+        CASE WHEN count(*) FILTER (sentiment = 'positive') > count(*) FILTER (sentiment = 'negative') THEN 'positive' ELSE 'negative' END AS sentiment
+        FROM (SELECT id, category, product, aspect, sentiment, count(*) AS n, sum(n_traits) AS tr, min(grp) AS grp, min(example) AS example
+            FROM mention GROUP BY ALL) GROUP BY category, product, aspect""",
+    "phrases": """SELECT category, product, aspect, trim(m.term || ' ' || word) AS phrase, count(*) AS n FROM mention m JOIN traits c ON c.id = m.id AND c.term = m.term GROUP BY ALL""",
+    "summed": """SELECT category, product, CAST(sum(n) AS BIGINT) AS n, CAST(sum(positive) AS BIGINT) AS positive, CAST(sum(negative) AS BIGINT) AS negative,
+        sum(positive) / sum(n) AS positive_ratio, sum(negative) / sum(n) AS negative_ratio FROM rolled GROUP BY ALL""",
     "mask_best": """SELECT id, product, max_by(mask_id, (s, -mask_id)) AS mask_id, max_by(mask, (s, -mask_id)) AS mask,
         max(s) AS s FROM (SELECT v.id, v.product, m.mask_id, m.mask, list_cosine_similarity(v.vec, m.vec) AS s
             FROM vectors v, masks m) GROUP BY id, product""",
@@ -151,20 +178,22 @@ CTES: dict[str, str] = {
 def with_fixtures(sql: str) -> str:
     """Put the stand-in views a query names in front of it as CTEs."""
     needed: list[str] = []
+    open_: set[str] = set()
 
     def visit(body: str) -> None:
         for name, definition in CTES.items():
-            if name not in needed and re.search(rf"\b{name}\b", body):
+            if name not in needed and name not in open_ and re.search(rf"\b{name}\b", body):
+                open_.add(name)
                 visit(definition)
                 if name not in needed:
                     needed.append(name)
 
     sql = sql.strip()
-    own = re.match(r"WITH\s+(RECURSIVE\s+)?(.*)", sql, re.S | re.I)
+    own = re.match(r"WITH\s+(?:RECURSIVE\s+)?(.*)", sql, re.S | re.I)
     visit(sql)
     if not needed:
         return sql
     head = ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
     if own:
-        return f"WITH {own.group(1) or ''}{head},\n{own.group(2)}"
-    return f"WITH {head}\n{sql}"
+        return f"WITH RECURSIVE {head},\n{own.group(1)}"
+    return f"WITH RECURSIVE {head}\n{sql}"

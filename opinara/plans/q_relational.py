@@ -228,7 +228,7 @@ def _(t):
 def _(t):
     g = t.sentences.groupBy("id", "rating", "product").agg(
         F.min_by("sentence", "spos").alias("first_sentence"),
-        F.array_sort(F.collect_list(F.struct("spos", "sentence"))).alias("x"), F.avg(F.length("sentence")).alias("m"))
+        F.sort_array(F.collect_list(F.struct("spos", "sentence"))).alias("x"), F.avg(F.length("sentence")).alias("m"))
     return g.select("id", "rating", "product", "first_sentence",
                     F.array_join(F.transform("x", lambda s: s["sentence"]), " / ").alias("all_sentences"), r6(F.col("m")).alias("mean_len"))
 
@@ -254,7 +254,7 @@ def _(t):
     GROUP BY product""")
 def _(t):
     lists = t.reviews.groupBy("product", "rating").agg(F.collect_set("category").alias("c"))
-    union = F.array_sort(F.array_distinct(F.flatten(F.collect_list("c"))))
+    union = F.sort_array(F.array_distinct(F.flatten(F.collect_list("c"))))
     return lists.groupBy("product").agg(F.array_join(union, ",").alias("categories"))
 
 
@@ -314,7 +314,7 @@ def _(t):
         F.collect_list(F.struct("id", "url")).alias("x"), F.min("id").alias("i"), F.min_by("url", "id").alias("u"),
         F.sum(F.length("text")).alias("s"))
     merged = base.groupBy("label", "part").agg(
-        F.array_sort(F.flatten(F.collect_list("x"))).alias("x"), F.min("i").alias("first_id"),
+        F.sort_array(F.flatten(F.collect_list("x"))).alias("x"), F.min("i").alias("first_id"),
         F.min_by("u", "i").alias("thought"), F.sum("s").alias("size"))
     return merged.select("label", "part", F.array_join(F.transform("x", lambda e: e["url"]), " ").alias("members"),
                          "first_id", "thought", "size", F.size("x").cast("long").alias("total"))

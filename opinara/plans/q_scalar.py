@@ -78,7 +78,7 @@ def _(t):
 def scores(t):
     """Per user a map event_type -> summed value."""
     one = t.events.groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 4).alias("v"))
-    return one.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "v")))).alias("m"))
+    return one.groupBy("user_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("event_type", "v")))).alias("m"))
 
 
 SCORES = "(SELECT user_id, event_type, round(sum(value), 4) AS v FROM events GROUP BY ALL)"
@@ -103,7 +103,7 @@ def _(t):
 @query("f13_zip_lists", """SELECT id, spos, string_agg(lemma || '/' || tag || '/' || rel, ' ' ORDER BY pos) AS raw
     FROM tokens GROUP BY id, spos""")
 def _(t):
-    lists = t.tokens.groupBy("id", "spos").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma", "tag", "rel"))).alias("x"))
+    lists = t.tokens.groupBy("id", "spos").agg(F.sort_array(F.collect_list(F.struct("pos", "lemma", "tag", "rel"))).alias("x"))
     lists = lists.select("id", "spos", *[F.col(f"x.{c}").alias(c) for c in ("lemma", "tag", "rel")])
     raw = F.transform(F.arrays_zip("lemma", "tag", "rel"), lambda z: F.concat_ws("/", z["lemma"], z["tag"], z["rel"]))
     return lists.select("id", "spos", F.array_join(raw, " ").alias("raw"))
@@ -112,7 +112,7 @@ def _(t):
 def tagged(t):
     """Per sentence an array of (lemma, pos) with the stop words beside it."""
     stop = t.stop_words.agg(F.collect_list("word").alias("stop"))
-    rows = t.tokens.groupBy("id", "spos").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma", "tag"))).alias("x"))
+    rows = t.tokens.groupBy("id", "spos").agg(F.sort_array(F.collect_list(F.struct("pos", "lemma", "tag"))).alias("x"))
     pairs = F.transform("x", lambda s: F.struct(s["lemma"].alias("lemma"), s["tag"].alias("pos")))
     return rows.select("id", "spos", pairs.alias("x")).withColumn("stop", stop.scalar())
 
@@ -216,7 +216,7 @@ def _(t):
     from opinara.operators import tables as tb
 
     q = tb.exact_quantiles(t.lineitem, ["l_quantity"], [0.0, 0.25, 0.5, 0.75, 1.0])
-    edges = q.agg(F.array_sort(F.collect_list("value")).alias("e"))  # five numbers
+    edges = q.agg(F.sort_array(F.collect_list("value")).alias("e"))  # five numbers
     df = t.lineitem.select("l_quantity").withColumn("e", edges.scalar())
     cuts = [F.get("e", F.lit(i)) for i in range(4)] + [F.get("e", F.lit(4)) + 1]
     return df.groupBy(tb.right_closed_bin(F.col("l_quantity"), cuts).alias("bin")).agg(F.count("*").alias("n"))
