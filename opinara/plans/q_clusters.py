@@ -2,8 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from opinara.functions import text as tx
 from opinara.operators import density as dn
+from opinara.operators import masks as mk
+from opinara.operators import partition as pt
+from opinara.operators import reviews as rv
+from opinara.operators import textflow as tf
+from opinara.plans.q_textflow import CLIMB, NOUNS, stop_array
 from opinara.plans.registry import query
+from opinara.session import spread
 
 
 def part_points(t):
@@ -46,3 +53,130 @@ def _(t):
 @query("c8_hdbscan")
 def _(t):
     return dn.hdbscan(t.vectors, "product", "id", "vec", 3, 3)
+
+
+GRID_EPS, GRID_MIN = [0.01, 0.015, 0.02, 0.03, 0.05], [3, 5, 8, 12]
+
+
+def grid(t):
+    return dn.grid_report(dn.dbscan_grid(part_points(t), "g", "id", "vec", GRID_EPS, GRID_MIN, "euclidean"))
+
+
+@query("c6_dbscan_grid")
+def _(t):
+    return grid(t)
+
+
+@query("c7_usable_cells")
+def _(t):
+    return dn.usable_cells(grid(t))
+
+
+def clustered(t):
+    """g, id, vec, n_words, cluster: one starting cluster per product."""
+    words = t.reviews.select("id", tx.count_words(F.col("text")).alias("n_words"))
+    rows = t.vectors.join(words, "id")
+    return rows.select(F.col("product").cast("string").alias("g"), "id", "vec", "n_words", F.lit("0").alias("cluster"))
+
+
+@query("c9_recursive_split")
+def _(t):
+    rows = clustered(t)
+    limit = rv.word_threshold(rv.cluster_words(rows))
+    return rv.split_large(rows, limit, steps=(0.85, 0.8, 0.75, 0.7)).select("g", "id", "cluster")
+
+
+@query("c10_word_threshold", r"""WITH w AS (SELECT product AS g, rating AS cluster, CAST(sum(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) + count(*) - 1 AS BIGINT) AS words
+    FROM reviews GROUP BY ALL) SELECT g, CASE WHEN count(*) = 1 THEN CASE WHEN max(words) > 20 THEN max(words) / 2 ELSE max(words) END ELSE least(avg(words) * 1.5, 250) END AS threshold FROM w GROUP BY g""")
+def _(t):
+    rows = t.reviews.select(F.col("product").alias("g"), F.col("rating").alias("cluster"), tx.count_words(F.col("text")).alias("n_words"))
+    return rv.word_threshold(rv.cluster_words(rows))
+
+
+@query("c11_at_least_three")
+def _(t):
+    rows = clustered(t)
+    few = rows.select("g", "cluster").distinct().groupBy("g").agg(F.count("*").alias("k")).where("k < 3").select("g")
+    out = rv.split_large(rows, rv.word_threshold(rv.cluster_words(rows)), only=few, steps=(0.8, 0.7))
+    return out.groupBy("g", "cluster").agg(F.count("*").alias("n"))
+
+
+@query("c12_ward_per_product")
+def _(t):
+    return pt.ward_splits(t.vectors, "product", "id", "vec", max_distance=3.2)
+
+
+@query("c13_kmeans_per_product")
+def _(t):
+    out = pt.kmeans_groups(t.vectors, "product", "id", "vec", k=5)
+    return out.select("g", "id", "cluster", F.round("d2", 6).alias("d2"))
+
+
+@query("c19_ward_rows")
+def _(t):
+    return pt.ward_leaves(part_points(t), "id", "vec", leaves=4)
+
+
+@query("c21_self_organising_map")
+def _(t):
+    import opinara.operators.tables as tb
+
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    scaled = tb.min_max_scaled(t.lineitem.select("l_orderkey", "l_linenumber", *cols), cols)
+    rows = spread(scaled.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array(*cols).alias("vec")))
+    codebook, _errors = pt.train_map(rows, "id", "vec", width=20, height=20, epochs=6)
+    units = pt.project(rows, "id", "vec", codebook).groupBy("unit").agg(F.count("*").alias("n"), F.avg("error").alias("error"))
+    book = pt.codebook_frame(t.spark, codebook)
+    groups = pt.kmeans_groups(book.withColumn("g", F.lit("map")), "g", "unit", "weights", k=3).select(F.col("id").cast("int").alias("unit"), F.col("cluster"))
+    return book.join(groups, "unit").join(units, "unit", "left").select(
+        "unit", "cluster", "n", "error", F.get("weights", F.lit(0)).alias("feature_0")).orderBy(F.desc("feature_0"))
+
+
+@query("c22_adjectives_per_cluster", f"""WITH RECURSIVE {CLIMB}, {NOUNS} SELECT cluster, noun, adj, count(*) AS n FROM nouns JOIN (
+    SELECT id, spos, clause, lemma AS adj FROM members WHERE tag = 'ADJ' AND length(lemma) > 1) USING (id, spos, clause)
+    JOIN (SELECT id, rating AS cluster FROM reviews) USING (id) WHERE cluster IN (1, 3, 5) GROUP BY cluster, noun, adj HAVING n > 2""")
+def _(t):
+    found = tf.clauses(t.tokens, ["id", "spos"]).join(t.reviews.select("id", F.col("rating").alias("cluster")), "id")
+    chosen = stop_array(found.where(F.col("cluster").isin(1, 3, 5)), t)
+    return tf.adjectives_per_noun(chosen, F.col("stop"), at_least=3, extra=("cluster",))
+
+
+@query("e4_nearest_neighbours")
+def _(t):
+    queries = t.masks.select(F.col("mask_id").alias("qid"), "vec")
+    return mk.nearest_rows(t.vectors, "id", "vec", queries, k=10).select("qid", "id", "sim", "rk")
+
+
+def sentence_table(t):
+    rows = t.vectors.select("id", "vec", F.concat(F.lit("p"), "product").alias("product")).join(
+        t.sentences.where("spos = 0").select("id", "sentence", "rating", "category"), "id")
+    return rows.select("id", F.lit("all").alias("category"), "product", "rating", "sentence", "vec", F.lit(1).alias("prediction"))
+
+
+@query("r13_review_clusters")
+def _(t):
+    return rv.cluster_reviews(sentence_table(t), "dbscan", min_words=3, eps=0.78, min_pts=3)
+
+
+def product_rows(t):
+    words = t.reviews.select("id", "category", "url", "rating", tx.count_words(F.col("text")).alias("n_words"))
+    return t.vectors.join(words, "id")
+
+
+@query("r14_product_clusters_kmeans")
+def _(t):
+    return rv.cluster_product_reviews(product_rows(t), "kmeans", k=5)
+
+
+@query("r14_product_clusters_hdbscan")
+def _(t):
+    return rv.cluster_product_reviews(product_rows(t), "hdbscan", levels=8)
+
+
+@query("a7_cluster_summary", r"""SELECT CAST(v.product AS VARCHAR) AS g, CAST(r.rating AS VARCHAR) AS cluster, min_by(r.category, v.id) AS category, min_by(r.url, v.id) AS url,
+    round(avg(r.rating), 6) AS rating_mean, count(*) AS elem_count, CAST(sum(len(list_filter(string_split_regex(r.text, '\s+'), lambda x: x <> ''))) AS BIGINT) AS word_count
+    FROM vectors v JOIN reviews r ON r.id = v.id GROUP BY ALL""")
+def _(t):
+    rows = product_rows(t).withColumns({"g": F.col("product").cast("string"), "cluster": F.col("rating").cast("string")})
+    return rv.summarise_clusters(rows).select(
+        "g", "cluster", "category", "url", F.round("rating_mean", 6).alias("rating_mean"), "elem_count", "word_count")

@@ -1 +1,142 @@
+"""Sources and sinks: round trips through files, pages, links, menus."""
 
+from pyspark.sql import functions as F
+
+from opinara.operators import tables as tb
+from opinara.plans.registry import query
+from opinara.sources import files, pages
+from opinara.streaming import jobs as st
+
+REVIEWS = "SELECT id, text, product, category, rating, url FROM reviews"
+
+
+@query("s1_load_reviews", REVIEWS)
+def _(t):
+    path = files.scratch(t.spark, "csv")
+    files.write_csv(t.reviews, path)
+    return files.load_reviews(t.spark, path)
+
+
+@query("s2_recursive_union", "SELECT id, product, rating FROM reviews")
+def _(t):
+    path = files.scratch(t.spark, "tree")
+    for part in ("a", "b"):
+        files.write_csv(t.reviews.where((F.col("rating") > 3) == (part == "a")), f"{path}/{part}/files")
+    return files.load_reviews(t.spark, path, recursive=True).select("id", "product", "rating")
+
+
+@query("s3_gzip_row_range", REVIEWS + " WHERE id >= 100")
+def _(t):
+    path = files.scratch(t.spark, "gz")
+    files.write_csv(t.reviews, path, compression="gzip")
+    return files.row_range(files.load_reviews(t.spark, path), "id", 100)
+
+
+@query("s4_json_records", REVIEWS)
+def _(t):
+    path = files.scratch(t.spark, "json")
+    files.write_json(t.reviews, path)
+    return files.read_json(t.spark, path)
+
+
+@query("s5_csv_overwrite", "SELECT id, product, category, rating, url FROM reviews WHERE rating > 2")
+def _(t):
+    path = files.scratch(t.spark, "over")
+    files.write_csv(t.reviews, path)
+    files.write_csv(t.reviews.where("rating > 2"), path)
+    return files.load_reviews(t.spark, path).drop("text")
+
+
+@query("s6_csv_append", "SELECT id, product, category, rating, url FROM reviews")
+def _(t):
+    path = files.scratch(t.spark, "app")
+    files.append_csv(t.reviews.where("rating <= 2"), path)
+    files.append_csv(t.reviews.where("rating > 2"), path)
+    return files.load_reviews(t.spark, path).drop("text")
+
+
+@query("s7_empty_categories", """SELECT DISTINCT p_brand AS category FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 48)""")
+def _(t):
+    parts = t.part.select(F.col("p_brand").alias("category"), "p_size", "p_partkey")
+    path = files.scratch(t.spark, "bycat")
+    files.write_by_category(parts.where("p_size > 48"), path)
+    return files.empty_categories(parts.select("category").distinct(), t.spark.read.parquet(path))
+
+
+CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"""
+
+
+@query("s9_page_blocks", rf"""WITH x AS (SELECT page_id, string_split_regex({CLEAN}, '(?i)<p(?:\s[^>]*)?>')[2:] AS parts FROM pages),
+    b AS (SELECT page_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM x),
+    c AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(string_split_regex(part, '(?i)</p\s*>')[1],
+        '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS block FROM b)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, block FROM c WHERE block <> ''""")
+def _(t):
+    return pages.extract_blocks(t.pages.select("page_id", "html"), "html")
+
+
+@query("s10_product_links", r"""SELECT lang, url, product_id, feedback_url FROM (SELECT lang, url, product_id, 'https://shop/' || product_id || '/feedbacks' AS feedback_url,
+    row_number() OVER (PARTITION BY lang ORDER BY CAST(product_id AS BIGINT), url) AS rk FROM (
+        SELECT regexp_extract(url, '/([a-z][a-z])/', 1) AS lang, url, regexp_extract(url, '/[a-z][a-z]/(\d+)', 1) AS product_id FROM pages) WHERE product_id <> '') WHERE rk <= 15""")
+def _(t):
+    df = t.pages.select(F.regexp_extract("url", "/([a-z][a-z])/", 1).alias("lang"), "url")
+    return pages.product_links(df, "url", "lang", "https://shop/", r"/[a-z][a-z]/(\d+)", 15)
+
+
+@query("s11_breadcrumbs", "SELECT p_partkey, p_type || ' / ' || p_name AS category FROM part")
+def _(t):
+    return t.part.select("p_partkey", pages.breadcrumb(F.array("p_brand", "p_type", "p_name")).alias("category"))
+
+
+@query("s12_menu_paths", """WITH RECURSIVE tree AS (SELECT p_partkey AS id, p_name AS path FROM part WHERE p_partkey = 0 UNION ALL
+    SELECT p.p_partkey, t.path || '/' || p.p_name FROM part p JOIN tree t ON p.p_partkey // 2 = t.id WHERE p.p_partkey > 0) SELECT id, path FROM tree""")
+def _(t):
+    nodes = t.part.select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 2).alias("parent"), F.col("p_name").alias("name"))
+    return tb.tree_paths(nodes)
+
+
+@query("s13_absolute_urls", rf"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN contains(h, 'http') THEN h ELSE 'https://shop' || h END AS href FROM (
+    SELECT page_id, unnest(range(1, len(hs) + 1)) AS i, unnest(hs) AS h FROM (SELECT page_id, regexp_extract_all({CLEAN}, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS hs FROM pages))""")
+def _(t):
+    found = pages.links(t.pages.select("page_id", "html"), "html")
+    return found.select("page_id", "pos", pages.absolute(F.col("href"), "https://shop").alias("href"))
+
+
+@query("s14_token_table", "SELECT id, spos, pos, head, lemma, tag, rel FROM tokens")
+def _(t):
+    path = files.scratch(t.spark, "tokens")
+    t.tokens.write.parquet(path)
+    return files.read_tokens(t.spark, path).select("id", "spos", "pos", "head", "lemma", "tag", "rel")
+
+
+# --- incremental ---------------------------------------------------------------------------
+
+
+@query("i1_stream_labels", r"""SELECT id, CASE WHEN s > 0.4 THEN 0 WHEN len(w) IN (1, 3, 4) AND list_has_any(w, stop) THEN 2 WHEN 0.4 - s < 0.1 THEN -1 ELSE 1 END AS label
+    FROM mask_best JOIN (SELECT id, list_filter(string_split_regex(sentence, '\s+'), lambda x: x <> '') AS w FROM sentences
+        WHERE spos = 0) USING (id), (SELECT list(word) AS stop FROM stop_words)""")
+def _(t):
+    rows = t.vectors.select("id", "vec").join(t.sentences.where("spos = 0").select("id", "sentence"), "id")
+    source, sink = files.scratch(t.spark, "in"), files.scratch(t.spark, "out")
+    rows.repartition(4).write.parquet(source)
+    words = [r[0] for r in t.stop_words.collect()]  # a fixed number of words
+    st.label_stream(t.spark, source, rows.schema, sink, t.masks, words, threshold=0.4)
+    return t.spark.read.parquet(sink).select("id", "label")
+
+
+@query("i2_resume", "SELECT id FROM reviews WHERE rating > 3")
+def _(t):
+    done = t.reviews.where("rating <= 3").select("id")
+    return st.not_yet_written(t.reviews.select("id"), done)
+
+
+@query("i3_incremental_corrections")
+def _(t):
+    from opinara.operators import textflow as tf
+    from opinara.session import cut
+
+    source, sink = files.scratch(t.spark, "in"), files.scratch(t.spark, "out")
+    t.reviews.select("id", "text").repartition(3).write.parquet(source)
+    fixes = cut(tf.corrections(t.vocabulary))
+    st.correction_stream(t.spark, source, t.reviews.select("id", "text").schema, sink, fixes)
+    return t.spark.read.parquet(sink).select("id", "corrected_text")
