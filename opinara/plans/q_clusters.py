@@ -83,7 +83,7 @@ def clustered(t):
 def _(t):
     rows = clustered(t)
     limit = rv.word_threshold(rv.cluster_words(rows))
-    return rv.split_large(rows, limit, steps=(0.85, 0.8, 0.75, 0.7)).select("g", "id", "cluster")
+    return rv.split_large(rows, limit, steps=(0.8, 0.7)).select("g", "id", "cluster")
 
 
 @query("c10_word_threshold", r"""WITH w AS (SELECT product AS g, rating AS cluster, CAST(sum(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) + count(*) - 1 AS BIGINT) AS words
@@ -97,7 +97,7 @@ def _(t):
 def _(t):
     rows = clustered(t)
     few = rows.select("g", "cluster").distinct().groupBy("g").agg(F.count("*").alias("k")).where("k < 3").select("g")
-    out = rv.split_large(rows, rv.word_threshold(rv.cluster_words(rows)), only=few, steps=(0.8, 0.7))
+    out = rv.split_large(rows, rv.word_threshold(rv.cluster_words(rows)), only=few, steps=(0.75,))
     return out.groupBy("g", "cluster").agg(F.count("*").alias("n"))
 
 
