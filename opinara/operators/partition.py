@@ -150,22 +150,46 @@ def hex_distances(width: int, height: int) -> np.ndarray:
     return dx**2 + dy**2
 
 
-def project(df: DataFrame, key: str, vec: str, codebook: np.ndarray) -> DataFrame:
-    """id, unit, error: the closest unit by cosine distance; the map is bounded by its
-    own size (2,500 units by default) and travels as a broadcast."""
+def _unit_broadcast(df: DataFrame, codebook: np.ndarray):
+    """The unit-length codebook; its size is the map's, 2,500 units by default."""
     size = np.linalg.norm(codebook, axis=1, keepdims=True)
-    shared = df.sparkSession.sparkContext.broadcast(np.divide(codebook, size, out=np.zeros_like(codebook), where=size > 0))
+    return df.sparkSession.sparkContext.broadcast(np.divide(codebook, size, out=np.zeros_like(codebook), where=size > 0))
+
+
+def _closest(pdf: pd.DataFrame, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    v = np.stack(pdf["v"].to_numpy())
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    sim = np.divide(v, n, out=np.zeros_like(v), where=n > 0) @ book.T
+    unit = sim.argmax(axis=1)
+    return v, unit, 1 - sim[np.arange(len(unit)), unit]
+
+
+def project(df: DataFrame, key: str, vec: str, codebook: np.ndarray) -> DataFrame:
+    """id, unit, error: the closest unit by cosine distance."""
+    shared = _unit_broadcast(df, codebook)
     rows = df.select(F.col(key).cast("long").alias("id"), vx.as_double(F.col(vec)).alias("v"))
 
     def nearest(batches):
         for pdf in batches:
-            v = np.stack(pdf["v"].to_numpy())
-            n = np.linalg.norm(v, axis=1, keepdims=True)
-            sim = np.divide(v, n, out=np.zeros_like(v), where=n > 0) @ shared.value.T
-            unit = sim.argmax(axis=1)
-            yield pdf.assign(unit=unit, error=1 - sim[np.arange(len(unit)), unit])
+            _, unit, error = _closest(pdf, shared.value)
+            yield pd.DataFrame({"id": pdf["id"], "unit": unit, "error": error})
+
+    return rows.mapInPandas(nearest, "id long, unit int, error double")
+
+
+def _unit_sums(rows: DataFrame, codebook: np.ndarray) -> DataFrame:
+    """unit, n, s, e per batch: row counts, vector sums and errors of the units hit."""
+    shared = _unit_broadcast(rows, codebook)
+
+    def sums(batches):
+        for pdf in batches:
+            v, unit, error = _closest(pdf, shared.value)
+            hit, at = np.unique(unit, return_inverse=True)
+            s = np.zeros((len(hit), v.shape[1]))
+            np.add.at(s, at, v)
+            yield pd.DataFrame({"unit": hit, "n": np.bincount(at), "s": list(s), "e": np.bincount(at, weights=error)})
 
-    return rows.mapInPandas(nearest, "id long, v array<double>, unit int, error double")
+    return rows.mapInPandas(sums, "unit int, n long, s array<double>, e double")
 
 
 def train_map(df: DataFrame, key: str, vec: str, width: int = 50, height: int = 50, epochs: int = 10, seed: int = 32):
@@ -181,8 +205,8 @@ def train_map(df: DataFrame, key: str, vec: str, width: int = 50, height: int =
     d2, errors = hex_distances(width, height), []
     for e in range(epochs):
         radius = max(width, height) / 4 * (0.5 / (max(width, height) / 4)) ** (e / max(1, epochs - 1))
-        hit = project(data, "id", "v", codebook)
-        sums = hit.groupBy("unit").agg(F.count("*").alias("n"), vx.sum_vector(F.col("v")).alias("s"), F.sum("error").alias("e")).collect()
+        sums = _unit_sums(data, codebook).groupBy("unit").agg(
+            F.sum("n").alias("n"), vx.sum_vector(F.col("s")).alias("s"), F.sum("e").alias("e")).collect()
         n, s = np.zeros(len(codebook)), np.zeros_like(codebook)
         for row in sums:  # at most one row per unit of the map
             n[row.unit], s[row.unit] = row.n, row.s

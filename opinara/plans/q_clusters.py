@@ -155,7 +155,7 @@ def sentence_table(t):
 
 @query("r13_review_clusters")
 def _(t):
-    return rv.cluster_reviews(sentence_table(t), "dbscan", min_words=3, eps=0.78, min_pts=3)
+    return rv.cluster_reviews(sentence_table(t), "dbscan", min_words=3, steps=(0.75, 0.7), eps=0.78, min_pts=3)
 
 
 def product_rows(t):
