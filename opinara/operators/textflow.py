@@ -244,9 +244,11 @@ def term_features(sentences: DataFrame, stop: DataFrame, key: str = "id") -> Dat
     per = toks.groupBy(key, "word").agg(
         F.count("*").alias("tf"),
         F.sum(upper.cast("int")).alias("ups"), F.sum(capital.cast("int")).alias("caps"),
-        F.median("spos").alias("mid"), F.countDistinct("spos").alias("n_sent"),
-        F.count("left").alias("nl"), F.countDistinct("left").alias("dl"),
-        F.count("right").alias("nr"), F.countDistinct("right").alias("dr"),
+        F.median("spos").alias("mid"),
+        # sets are bounded by one text; distinct counts would triple the rows instead
+        F.size(F.collect_set("spos")).cast("long").alias("n_sent"),
+        F.count("left").alias("nl"), F.size(F.collect_set("left")).cast("long").alias("dl"),
+        F.count("right").alias("nr"), F.size(F.collect_set("right")).cast("long").alias("dr"),
     )
     doc = per.groupBy(key).agg(
         F.avg("tf").alias("mean_tf"), F.stddev_pop("tf").alias("std_tf"), F.max("tf").alias("max_tf"))
