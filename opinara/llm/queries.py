@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import licences, secrets
+from opinara.llm import langid, licences, secrets, toxicity
+from opinara.llm.shared import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def toxicity_scorer(docs: DataFrame, labels: DataFrame) -> toxicity.Scorer:
+    """Learnt from the labelled documents that are not held out."""
+    known = docs.where(crc_mod("doc_id", 5) != 0).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
+    return toxicity.fit(known, docs)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_scorer(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+                         F.transform("evidence", lambda e: e["key"]).alias("evidence"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
@@ -21,6 +36,13 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.listed(F.col("secrets"), False).alias("spans"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(crc_mod("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.recognise(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     return found.select(
@@ -30,7 +52,9 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
     "op6_secrets": op6_secrets,
+    "op8_language": op8_language,
     "op9_licences": op9_licences,
 }
 
