@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import langid, licences, secrets, toxicity
+from opinara.llm import bpe, langid, licences, packing, secrets, toxicity
 from opinara.llm.shared import crc_mod
 
 
@@ -27,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.transform("evidence", lambda e: e["key"]).alias("evidence"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
@@ -36,6 +41,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.listed(F.col("secrets"), False).alias("spans"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(crc_mod("doc_id", 3) != 1).select("doc_id", "text", "lang"))
@@ -53,7 +63,9 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_language": op8_language,
     "op9_licences": op9_licences,
 }
