@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, langid, licences, packing, secrets, toxicity
+from opinara.llm import bpe, langid, licences, packing, secrets, simhash, toxicity
 from opinara.llm.shared import crc_mod
 
 
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=2)
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def toxicity_scorer(docs: DataFrame, labels: DataFrame) -> toxicity.Scorer:
     """Learnt from the labelled documents that are not held out."""
     known = docs.where(crc_mod("doc_id", 5) != 0).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
@@ -62,6 +67,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
