@@ -205,9 +205,12 @@ def sample_windows(rows: DataFrame, text: str, lang: str, key: str, per_lang: in
     every one, at places drawn from the key's hash over the whole text."""
     rows = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
     rows = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each class of the model
+    if not sizes:
+        return rows.sparkSession.createDataFrame([], "key string, lang string, at long, w binary")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, per_lang / r.n)])
     u = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.join(sizes, "lang").where(u * F.col("n") < per_lang).select("key", "lang", "text")
+    picked = rows.where(u < F.element_at(share, F.col("lang"))).select("key", "lang", "text")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
