@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, langid, licences, packing, secrets, simhash, topk, toxicity
+from opinara.llm import bpe, langid, licences, packing, secrets, simhash, suffixes, topk, toxicity
 from opinara.llm.shared import crc_mod
 
 
@@ -82,6 +82,10 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(",", F.array_sort(F.array_distinct("licences.licence"))).alias("licences"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
@@ -91,6 +95,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language": op8_language,
     "op9_licences": op9_licences,
+    "op10_repeats": op10_repeats,
 }
 
 SQL = {"op1_topk": OP1_SQL, "op9_licences": licences.SQL}
