@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, langid, licences, packing, secrets, simhash, suffixes, topk, toxicity
+from opinara.llm import bpe, hnsw, langid, licences, packing, secrets, simhash, suffixes, topk, toxicity
 from opinara.llm.shared import crc_mod
 
 
@@ -35,6 +35,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", least=0.95)
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links,
+       least(e.vec_id, coalesce((SELECT min(b) FROM r WHERE r.a = e.vec_id), e.vec_id)) AS component_id,
+       least(e.vec_id, coalesce((SELECT min(b) FROM r WHERE r.a = e.vec_id), e.vec_id)) = e.vec_id AS kept
+FROM embeddings e
+"""
+
+
 def toxicity_scorer(docs: DataFrame, labels: DataFrame) -> toxicity.Scorer:
     """Learnt from the labelled documents that are not held out."""
     known = docs.where(crc_mod("doc_id", 5) != 0).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
@@ -89,6 +106,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
+    "op3_embeddings": op3_embeddings,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
@@ -98,4 +116,4 @@ QUERIES = {
     "op10_repeats": op10_repeats,
 }
 
-SQL = {"op1_topk": OP1_SQL, "op9_licences": licences.SQL}
+SQL = {"op1_topk": OP1_SQL, "op3_embeddings": OP3_SQL, "op9_licences": licences.SQL}

@@ -348,8 +348,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     spark = docs.sparkSession
     n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = (1 << 63) - 1
-    tagged = docs.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(last))).withColumn("_hash", F.xxhash64(F.col(key), F.col(text)))
-    slim = tagged.select("_key", "_hash", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bytes"))
+    tagged = docs.withColumn("__repeats_key", F.coalesce(F.col(key).cast("long"), F.lit(last))).withColumn("__repeats_hash", F.xxhash64(F.col(key), F.col(text)))
+    slim = tagged.select("__repeats_key", "__repeats_hash", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__repeats_bytes"))
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, tables, size, known = [], [], 0, 0
@@ -360,9 +360,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
 
         for f in frames:
             table = np.zeros(len(f), DOC)
-            table["key"], table["hash"] = f["_key"], f["_hash"]
+            table["key"], table["hash"] = f["__repeats_key"], f["__repeats_hash"]
             tables.append(table)
-            for part in anchor_rows(list(f["_bytes"])):
+            for part in anchor_rows(list(f["__repeats_bytes"])):
                 part["doc"] += np.uint32(known)
                 held.append(part)
                 size += len(part)
@@ -375,13 +375,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
 
     round_one = written(_settled(slim.mapInPandas(find, BLOB), "anchor", settle_anchors, n))
     _release(spark)
-    by_doc = tagged.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(n)).cast("int"))
+    by_doc = tagged.withColumn("__repeats_bucket", F.pmod(F.col("__repeats_hash"), F.lit(n)).cast("int"))
     blob_schema = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("docs", pa.binary()), ("rows", pa.binary())])
 
     def double(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = _ranges(right, "open")
         held, table = [], []
-        for k, h, t in zip(*(left.column(c).to_pylist() for c in ("_key", "_hash")), left.column("_bytes")):
+        for k, h, t in zip(*(left.column(c).to_pylist() for c in ("__repeats_key", "__repeats_hash")), left.column("__repeats_bytes")):
             if (ranges := wanted.get((k, h))) is not None:
                 held += start_rows(t.as_py(), ranges, len(table))
                 table.append((k, h))
@@ -389,12 +389,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
         columns = list(zip(*sent)) or [[], [], [], []]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, blob_schema.types)], schema=blob_schema)
 
-    texts = slim.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(n)).cast("int"))
-    open_ = round_one.where("kind = 'open'").withColumnRenamed("bucket", "_for")
-    sent = texts.groupBy("_bucket").cogroup(open_.groupBy("_for")).applyInArrow(double, BLOB)
+    texts = slim.withColumn("__repeats_bucket", F.pmod(F.col("__repeats_hash"), F.lit(n)).cast("int"))
+    open_ = round_one.where("kind = 'open'").withColumnRenamed("bucket", "__repeats_for")
+    sent = texts.groupBy("__repeats_bucket").cogroup(open_.groupBy("__repeats_for")).applyInArrow(double, BLOB)
     round_two = written(_settled(sent, "start", settle_starts, n))
     _release(spark)
-    repeats = round_one.where("kind = 'repeat'").unionByName(round_two).withColumnRenamed("bucket", "_for")
+    repeats = round_one.where("kind = 'repeat'").unionByName(round_two).withColumnRenamed("bucket", "__repeats_for")
 
     if digest:
         final = texts
@@ -404,10 +404,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         found = _ranges(right, "repeat")
-        keys, hashes = left.column("_key").to_pylist(), left.column("_hash").to_pylist()
+        keys, hashes = left.column("__repeats_key").to_pylist(), left.column("__repeats_hash").to_pylist()
         if digest:
             rows = []
-            for k, h, t in zip(keys, hashes, left.column("_bytes")):
+            for k, h, t in zip(keys, hashes, left.column("__repeats_bytes")):
                 raw = t.as_py()
                 runs = covered(found.get((k, h)), len(raw))
                 rows.append((None if k == last else k, len(raw), sum(b - a for a, b in runs), len(runs), sha256(kept_bytes(raw, runs)).hexdigest()))
@@ -419,7 +419,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
             t = t.as_py()
             runs = covered(found.get((k, h)), len(t.encode("utf-8", "replace"))) if t and (k, h) in found else []
             new.append(kept_bytes(t.encode("utf-8", "replace"), runs).decode("utf-8", "ignore") if runs else t)
-        out = left.drop_columns(["_key", "_hash", "_bucket"])
-        return out.set_column(out.schema.get_field_index(text), text, pa.array(new, pa.string()))
+        out = left.drop_columns(["__repeats_key", "__repeats_hash", "__repeats_bucket"])
+        return out.set_column(out.schema.get_field_index(text), text, pa.array(new, out.schema.field(text).type))
 
-    return final.groupBy("_bucket").cogroup(repeats.groupBy("_for")).applyInArrow(finish, schema)
+    return final.groupBy("__repeats_bucket").cogroup(repeats.groupBy("__repeats_for")).applyInArrow(finish, schema)

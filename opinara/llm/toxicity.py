@@ -201,9 +201,9 @@ def fit(labelled: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str =
     return Scorer(index, k, prior)
 
 
-def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``evidence`` (the five nearest examples: key,
-    cosine, label).  A text without any indexed term, null and empty ones too, has the
+def score(docs: DataFrame, scorer: Scorer, text: str = "text", out: tuple[str, str] = ("score", "evidence")) -> DataFrame:
+    """``docs`` with two more columns (replaced if there): the score, 0 to 1, and the
+    evidence, the five nearest examples as structs of key, cosine and label.  A text without any indexed term, null and empty ones too, has the
     share of toxic examples among such texts and no evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by fit's sample and terms
 
@@ -215,5 +215,5 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
             yield pd.DataFrame({"score": [p for p, _ in got], "evidence": [e for _, e in got]})
 
     got = docs.withColumn("_toxicity", run(F.col(text)))
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "evidence")],
-                      "_toxicity.score", "_toxicity.evidence")
+    return got.select(*[F.col(f"`{c}`") for c in docs.columns if c not in out],
+                      F.col("_toxicity.score").alias(out[0]), F.col("_toxicity.evidence").alias(out[1]))
