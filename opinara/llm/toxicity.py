@@ -133,7 +133,7 @@ def _term_counts(rows: DataFrame, label: str | None, known: list[str] | None) ->
                 n.update(found)
                 if y:
                     n1.update(found)
-            yield pd.DataFrame({"term": list(n), "n": list(n.values()), "n1": [n1[t] for t in n]})
+            yield pd.DataFrame([(t, c, n1[t]) for t, c in n.items()], columns=["term", "n", "n1"])
 
     part = rows.select("text", (F.col(label) if label else F.lit(0)).alias("y")).mapInPandas(run, "term string, n long, n1 long")
     return part.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
