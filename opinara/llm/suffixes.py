@@ -340,13 +340,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     the result is (key, n_bytes, n_removed, n_spans, kept_sha256) instead.  Null texts
     have no bytes and stay null; documents with a null key come last; of rows with one
     key, equal ones are one document and others are ordered by a hash of their text.
-    Every round deals its records into ``buckets`` (twice the shuffle partitions) by name
+    Every round deals its records into ``buckets`` (the number of shuffle partitions) by name
     and back by document; a task holds one bucket, about 1/buckets of the corpus.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
-    n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = (1 << 63) - 1
     tagged = docs.withColumn("__repeats_key", F.coalesce(F.col(key).cast("long"), F.lit(last))).withColumn("__repeats_hash", F.xxhash64(F.col(key), F.col(text)))
     slim = tagged.select("__repeats_key", "__repeats_hash", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__repeats_bytes"))
