@@ -331,8 +331,9 @@ def _release(spark) -> None:
     """Let Spark delete the shuffle files of finished rounds before the next one."""
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # plans hold shuffles through several weak links
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False, buckets: int | None = None) -> DataFrame:
