@@ -20,8 +20,11 @@ BLOCK_BYTES = 32 * 2**20
 BEST = T.StructType([T.StructField("s", T.DoubleType()), T.StructField("mask_id", T.LongType()), T.StructField("mask", T.StringType())])
 
 
-def unit_rows(vectors) -> np.ndarray:
-    m = np.stack(list(vectors)).astype(np.float64)
+def unit_rows(vectors, width: int = 1) -> np.ndarray:
+    """Unit vectors as a matrix; null and zero vectors are zero, ``width`` wide if all are null."""
+    vectors = list(vectors)
+    width = max((len(v) for v in vectors if v is not None), default=width)
+    m = np.stack([np.zeros(width) if v is None else v for v in vectors]).astype(np.float64)
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
@@ -53,7 +56,7 @@ def _nearest(shared):
         if not len(v):
             return pd.DataFrame({"s": [], "mask_id": [], "mask": []})
         at, s = [], []
-        for part in _chunks(unit_rows(v), len(m)):
+        for part in _chunks(unit_rows(v, m.shape[1]), len(m)):
             sim = part @ m.T
             i = sim.argmax(axis=1)
             at.append(i)
@@ -71,7 +74,7 @@ def _per_mask(shared, k: int):
     def per_mask(v: pd.Series) -> pd.Series:
         owner, m = shared.value
         out = []
-        for part in _chunks(unit_rows(v), len(m)) if len(v) else ():
+        for part in _chunks(unit_rows(v, m.shape[1]), len(m)) if len(v) else ():
             sim = part @ m.T
             out += list(np.stack([sim[:, owner == i].max(axis=1) for i in range(k)], axis=1))
         return pd.Series(out, dtype=object)
@@ -81,12 +84,15 @@ def _per_mask(shared, k: int):
 
 def best_mask(rows: DataFrame, vec: str, masks: DataFrame, name: str = "best") -> DataFrame:
     """Struct column (s, mask_id, mask): the most similar mask, the smaller id on a
-    tie.  The work per row is one row of a matrix product; no pair is shuffled."""
+    tie; null for a null vector or without masks.  The work per row is one row of a matrix product; no pair is shuffled."""
     sc = rows.sparkSession.sparkContext
+    known = F.col(vec).isNotNull()
     found = [
-        _nearest(sc.broadcast((np.asarray(ids), np.asarray(names, dtype=object), m)))(F.col(vec))
+        F.when(known, _nearest(sc.broadcast((np.asarray(ids), np.asarray(names, dtype=object), m)))(F.col(vec)))
         for ids, names, m in _mask_blocks(masks, "vec")
     ]
+    if not found:  # no mask: nothing is close
+        return rows.withColumn(name, F.lit(None).cast(BEST))
     if len(found) == 1:
         return rows.withColumn(name, found[0])
     top = F.greatest(*[F.struct(b["s"].alias("s"), (-b["mask_id"]).alias("i"), b["mask"].alias("m")) for b in found])
@@ -101,6 +107,8 @@ def mask_similarities(rows: DataFrame, vec: str, masks: DataFrame, name: str = "
         labels = sorted(set(names))
         udf = _per_mask(sc.broadcast((np.searchsorted(labels, names), m)), len(labels))
         maps.append(F.map_from_arrays(F.array(*map(F.lit, labels)), udf(F.col(vec))))
+    if not maps:
+        return rows.withColumn(name, F.create_map().cast("map<string,double>"))
     out, low = maps[0], F.lit(-2.0)
     for more in maps[1:]:
         out = F.map_zip_with(out, more, lambda _, a, b: F.greatest(F.coalesce(a, low), F.coalesce(b, low)))
@@ -135,10 +143,11 @@ def mask_flags(rows: DataFrame, vec: str, masks: DataFrame, threshold: float = 0
 
 
 def split_by_mask(rows: DataFrame, vec: str, masks: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """(rows assigned to their best mask, rows assigned to none)"""
+    """(rows assigned to their best mask, rows assigned to none); a row without a vector
+    is assigned to none"""
     found = best_mask(rows, vec, masks)
-    return (found.where(F.col("best.s") > threshold).withColumn("mask", F.col("best.mask")).drop("best"),
-            found.where(F.col("best.s") <= threshold).drop("best"))
+    close = F.coalesce(F.col("best.s") > threshold, F.lit(False))
+    return found.where(close).withColumn("mask", F.col("best.mask")).drop("best"), found.where(~close).drop("best")
 
 
 def near_centroid(rows: DataFrame, keys: list[str], key: str, vec: str) -> DataFrame:

@@ -4,87 +4,69 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions import vectors as vx
-from opinara.operators.tables import first_per
 from opinara.session import cut
 
-CENTRE_BYTES = 64 * 2**20
-START_ROWS = 20
+SETTLED = 1e-12
+
+
+def _squared(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def _with_nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """Points with the nearest centre ``c`` of their group (the first on a tie) and its
+    squared distance ``d2``.  ``centres`` has one row per group, an array ``ms``; whether
+    that table is broadcast is left to Spark's own check of its size."""
+    each = F.transform("ms", lambda m, i: F.struct(_squared(F.col("v"), m).alias("d2"), i.alias("c")))
+    return points.join(centres, "g").withColumn("_b", F.array_min(each)).withColumns(
+        {"c": F.col("_b.c"), "d2": F.col("_b.d2")}).drop("_b", "ms")
 
 
 def _starts(points: DataFrame, k: int) -> DataFrame:
-    """g, c, m: farthest-first starts among the rows of each group with the smallest
-    hashes (at most START_ROWS * k of them, so a group's task is bounded)."""
-    few = first_per(points.withColumn("h", F.xxhash64("id")), ["g"], [F.asc("h"), F.asc("id")], START_ROWS * k)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf.sort_values("id")["v"].to_numpy())
-        at = [0]
-        far = ((v - v[0]) ** 2).sum(axis=1)
-        while len(at) < k and far.max() > 0:
-            at.append(int(far.argmax()))
-            far = np.minimum(far, ((v - v[at[-1]]) ** 2).sum(axis=1))
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "c": range(len(at)), "m": [v[i] for i in at]})
-
-    return few.select("g", "id", "v").groupBy("g").applyInPandas(pick, "g string, c int, m array<double>")
-
-
-def _assigned(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """Points with the nearest centre ``c`` of their group and its distance ``d2``.
-
-    Centres go to the tasks as one broadcast when their counted size allows it;
-    otherwise they join their group as an array and the expression runs in the JVM."""
-    size = centres.agg(F.count("*").alias("n"), F.max(F.size("m")).alias("d")).first()
-    if (size.n or 0) * (size.d or 0) * 8 <= CENTRE_BYTES:
-        table: dict[str, tuple[list, list]] = {}
-        for g, c, m in centres.select("g", "c", "m").orderBy("g", "c").collect():
-            ids, ms = table.setdefault(g, ([], []))
-            ids.append(c)
-            ms.append(m)
-        shared = points.sparkSession.sparkContext.broadcast({g: (np.asarray(i), np.asarray(m)) for g, (i, m) in table.items()})
-
-        def nearest(batches):
-            for pdf in batches:
-                out_c, out_d = np.full(len(pdf), -1), np.zeros(len(pdf))
-                for g, at in pdf.groupby("g").indices.items():
-                    ids, m = shared.value[g]
-                    v = np.stack(pdf["v"].to_numpy()[at])
-                    d = (v**2).sum(axis=1)[:, None] - 2 * v @ m.T + (m**2).sum(axis=1)[None, :]
-                    best = d.argmin(axis=1)
-                    out_c[at], out_d[at] = ids[best], np.maximum(d[np.arange(len(at)), best], 0)
-                yield pdf.assign(c=out_c, d2=out_d)
-
-        schema = ", ".join(f"{n} {t}" for n, t in points.dtypes)
-        return points.mapInPandas(nearest, f"{schema}, c int, d2 double")
-    per = centres.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("c", "m"))).alias("cs"))
-    dist = F.transform("cs", lambda x: F.struct((vx.euclidean(F.col("v"), x["m"]) ** 2).alias("d2"), x["c"].alias("c")))
-    return points.join(per, "g").withColumn("b", F.array_min(dist)).withColumn("c", F.col("b.c")).withColumn(
-        "d2", F.col("b.d2")).drop("b", "cs")
-
-
-def kmeans_groups(df: DataFrame, group: str, key: str, vec: str, k: int = 5, rounds: int = 8) -> DataFrame:
-    """g, id, cluster, d2: Lloyd steps for all groups in the same jobs.
-
-    A group with fewer distinct rows than ``k`` gets as many clusters as rows."""
-    points = cut(df.select(F.col(group).cast("string").alias("g"), F.col(key).cast("long").alias("id"),
-                           vx.as_double(F.col(vec)).alias("v")))
-    return _lloyd(points, k, rounds)
-
-
-def _lloyd(points: DataFrame, k: int, rounds: int) -> DataFrame:
-    centres = cut(_starts(points, k))
-    for _ in range(rounds):
-        moved = _assigned(points, centres).groupBy("g", "c").agg(vx.mean_vector(F.col("v")).alias("m"))
-        centres = cut(moved)
-    return _assigned(points, centres).select("g", "id", F.col("c").alias("cluster"), "d2")
-
-
-def _split_costs(points: DataFrame, rounds: int) -> DataFrame:
-    """Points of each node in two halves (c 0/1) with the Ward cost of the split."""
-    halves = _lloyd(points, 2, rounds).select("g", "id", F.col("cluster").alias("c"))
+    """g, ms: farthest-first starts over all rows of each group, beginning with the row of
+    the smallest id.  A row equal to a start is at distance 0 and never becomes one, so
+    repeated rows cost no centre; a group has fewer than ``k`` only for want of distinct rows."""
+    centres = cut(points.groupBy("g").agg(F.array(F.min_by("v", "id")).alias("ms")))
+    for _ in range(k - 1):
+        rank = F.struct(F.col("d2"), (-F.col("id")).alias("i"))
+        far = _with_nearest(points, centres).groupBy("g").agg(F.max("d2").alias("far"), F.max_by("v", rank).alias("v"))
+        more = F.when(F.col("far") > 0, F.array_append("ms", F.col("v"))).otherwise(F.col("ms"))
+        centres = cut(centres.join(far, "g").select("g", more.alias("ms")))
+    return centres
+
+
+def kmeans_groups(df: DataFrame, group: str, key: str, vec: str, k: int = 5) -> DataFrame:
+    """g, id, cluster, d2: Lloyd steps for all groups in the same jobs until no centre moves.
+
+    A group with fewer distinct rows than ``k`` gets as many clusters as distinct rows;
+    rows with a null vector take no part."""
+    points = cut(df.where(F.col(vec).isNotNull()).select(
+        F.col(group).cast("string").alias("g"), F.col(key).cast("long").alias("id"), vx.as_double(F.col(vec)).alias("v")))
+    return _lloyd(points, k)
+
+
+def _lloyd(points: DataFrame, k: int) -> DataFrame:
+    centres = _starts(points, k)
+    while True:
+        means = _with_nearest(points, centres).groupBy("g", "c").agg(vx.mean_vector(F.col("v")).alias("m"))
+        per = means.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("c", "m"))).alias("by"))
+        # a centre that has lost its rows stays where it is
+        moved = F.transform("ms", lambda m, i: F.coalesce(F.element_at("by", i), m))
+        shift = F.array_max(F.zip_with("ms", "to", lambda a, b: _squared(a, b) / (1 + F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))))
+        step = cut(centres.join(per, "g").withColumn("to", moved).select("g", F.col("to").alias("ms"), shift.alias("shift")))
+        centres = step.select("g", "ms")
+        if step.where(F.col("shift") > SETTLED**2).isEmpty():
+            return _with_nearest(points, centres).select("g", "id", F.col("c").alias("cluster"), "d2")
+
+
+def _split_costs(points: DataFrame) -> DataFrame:
+    """Points of each node in two halves (c 0/1) with the Ward cost of the split, 0 for a
+    node of equal rows."""
+    halves = _lloyd(points, 2).select("g", "id", F.col("cluster").alias("c"))
     rows = cut(points.join(halves, ["g", "id"]))
     sides = rows.groupBy("g", "c").agg(F.count("*").alias("n"), vx.mean_vector(F.col("v")).alias("m"))
     a = sides.where("c = 0").select("g", F.col("n").alias("n1"), F.col("m").alias("m1"))
@@ -94,39 +76,37 @@ def _split_costs(points: DataFrame, rounds: int) -> DataFrame:
     return rows.join(cost, "g", "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
 
 
-def ward_splits(df: DataFrame, group: str, key: str, vec: str, max_distance: float, unit: bool = True,
-                rounds: int = 5, depth: int = 30) -> DataFrame:
+def ward_splits(df: DataFrame, group: str, key: str, vec: str, max_distance: float, unit: bool = True) -> DataFrame:
     """g, id, cluster: top-down two-way splits, kept while their Ward cost exceeds
-    ``max_distance``; every level splits the open nodes of all groups in one job."""
+    ``max_distance`` (0 or more); every level splits the open nodes of all groups in one
+    job, until none is left open."""
     v = vx.normalise(F.col(vec)) if unit else vx.as_double(F.col(vec))
-    rows = df.select(F.col(group).cast("string").alias("grp"), F.col(key).cast("long").alias("id"), v.alias("v"))
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.col(key).cast("long").alias("id"), v.alias("v"))
     open_ = cut(rows.withColumn("g", F.concat("grp", F.lit("\u0001"))))
     done = None
-    for _ in range(depth):
-        split = cut(_split_costs(open_.select("g", "id", "v"), rounds))
+    while True:  # both halves of a kept split are smaller than their node, so this ends
+        split = cut(_split_costs(open_.select("g", "id", "v")))
         kept = split.where(F.col("cost") > max_distance)
         still = split.where(F.col("cost") <= max_distance).select("g", "id")
         done = still if done is None else done.unionByName(still)
         open_ = kept.select(F.concat("g", F.col("c").cast("string")).alias("g"), "id", "v")
         if kept.isEmpty():
             break
-    else:
-        done = done.unionByName(open_.select("g", "id"))
     path = F.split("g", "\u0001")
     return done.select(F.get(path, F.lit(0)).alias("g"), "id", F.get(path, F.lit(1)).alias("cluster"))
 
 
-def ward_leaves(df: DataFrame, key: str, vec: str, leaves: int, rounds: int = 5) -> DataFrame:
+def ward_leaves(df: DataFrame, key: str, vec: str, leaves: int) -> DataFrame:
     """id, cluster: the leaf with the largest Ward cost is split until ``leaves``
     are reached; a leaf's own split is worked out once."""
     rows = df.select(F.lit("r").alias("g"), F.col(key).cast("long").alias("id"), vx.as_double(F.col(vec)).alias("v"))
-    split = {"r": cut(_split_costs(rows, rounds))}
+    split = {"r": cut(_split_costs(rows))}
     cost = {"r": split["r"].agg(F.max("cost")).first()[0] or 0.0}
     while len(split) < leaves and max(cost.values()) > 0:
         top = max(sorted(cost), key=cost.get)
         halves = split.pop(top)
         del cost[top]
-        fresh = cut(_split_costs(halves.select(F.concat("g", F.col("c").cast("string")).alias("g"), "id", "v"), rounds))
+        fresh = cut(_split_costs(halves.select(F.concat("g", F.col("c").cast("string")).alias("g"), "id", "v")))
         for side in ("0", "1"):
             split[top + side] = fresh.where(F.col("g") == top + side)
             cost[top + side] = split[top + side].agg(F.max("cost")).first()[0] or 0.0

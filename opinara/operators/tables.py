@@ -23,7 +23,7 @@ def drop_matching(df: DataFrame, pattern: str) -> DataFrame:
 
 def abbreviate(name: str) -> str:
     """First letters of the parts; parts with s or n in front keep three."""
-    return "".join(p[:3] if p[:1] in ("s", "n") else p[:1] for p in name.split("_"))
+    return re.sub(r"(?:^|_)(?:([sn][^_]{0,2})|([^_]?))[^_]*", r"\1\2", name)
 
 
 def rename_abbreviated(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -214,10 +214,14 @@ def top_correlations(df: DataFrame, columns: list[str], n: int = 50) -> DataFram
 
 
 def cluster_correlations(df: DataFrame, features: list[str], cluster: str) -> DataFrame:
-    """Correlation of every feature with every cluster's 0/1 indicator."""
-    wide = one_hot(df.select(*features, cluster), cluster)
-    flags = [c for c in wide.columns if c not in features]
-    return correlations(wide, [(f, g) for f in features for g in flags]).withColumnsRenamed({"a": "feature", "b": "cluster"})
+    """feature, cluster, r: correlation of every feature with every cluster's 0/1
+    indicator, for any number of clusters: from the sums of each cluster and of all rows."""
+    long = unpivot(df.withColumn("_cluster", F.col(cluster).cast("string")), ["_cluster"], features, "feature", "x").where("x IS NOT NULL")
+    mean = long.groupBy("feature").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    per = long.where("_cluster IS NOT NULL").groupBy("feature", "_cluster").agg(F.count("*").alias("k"), F.avg("x").alias("m"))
+    share = F.col("k") / F.col("n")
+    r = F.try_divide((F.col("m") - F.col("mean")) * F.sqrt(share), F.col("sd") * F.sqrt(1 - share))
+    return per.join(mean, "feature").select("feature", F.concat(F.lit(f"{cluster}_"), "_cluster").alias("cluster"), r.alias("r"))
 
 
 def cluster_profile(df: DataFrame, features: list[str], cluster: str) -> tuple[DataFrame, DataFrame]:
@@ -230,22 +234,26 @@ def cluster_profile(df: DataFrame, features: list[str], cluster: str) -> tuple[D
     return means, spread.select("name", ratio.alias("dispersion"))
 
 
-def tree_paths(nodes: DataFrame, rounds: int = 40) -> DataFrame:
+def tree_paths(nodes: DataFrame) -> DataFrame:
     """node -> its root and the slash path from the root, by pointer doubling.
 
     ``nodes``: id, parent (null or itself for a root), name.  Each round doubles the
-    distance a row has climbed, so log2(depth) joins are enough.
+    distance a row has climbed, so log2(depth) joins are enough; a cycle, on which a
+    row climbs further than there are rows, is an error.
     """
     from opinara.session import cut
 
     at_root = F.col("parent").isNull() | (F.col("parent") == F.col("id"))
     cur = nodes.select(
         "id", F.when(at_root, F.lit(None)).otherwise(F.col("parent")).alias("up"), F.col("name").alias("path"))
-    for _ in range(rounds):
+    climbed, rows = 1, nodes.count()
+    while True:
         above = cur.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
         cur = cut(cur.join(above, "up", "left").select(
             "id", F.col("up2").alias("up"),
             F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", F.lit("/"), "path")).alias("path")))
         if cur.where(F.col("up").isNotNull()).isEmpty():
-            break
-    return cur.select("id", "path")
+            return cur.select("id", "path")
+        climbed *= 2
+        if climbed > rows:
+            raise ValueError("the parents hold a cycle")

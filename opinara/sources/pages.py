@@ -76,17 +76,16 @@ def links(pages: DataFrame, html: str) -> DataFrame:
     return pages.select(*[c for c in pages.columns if c != html], F.posexplode(href).alias("pos", "href"))
 
 
-def flatten_menu(menu: DataFrame, depth: int = 10) -> DataFrame:
+def flatten_menu(menu: DataFrame) -> DataFrame:
     """Rows id, name, url, parent_id, category out of nested ``childs`` arrays.
 
     ``menu`` has id, name, url, childs; the declared schema bounds the depth."""
     level = menu.withColumn("parent_id", F.lit(None).cast("long")).withColumn("category", F.concat(F.lit("/"), "name"))
     out = None
-    for _ in range(depth):
+    while True:
         rows = level.select("id", "name", "url", "parent_id", "category")
         out = rows if out is None else out.unionByName(rows)
         if "childs" not in level.columns:
-            break
+            return out
         kids = level.select(F.col("id").alias("parent_id"), F.col("category").alias("up"), F.explode("childs").alias("c")).select("parent_id", "up", "c.*")
         level = kids.withColumn("category", F.concat("up", F.lit("/"), "name")).drop("up")
-    return out

@@ -103,12 +103,60 @@ def test_mask_blocks_do_not_change_the_best(spark, monkeypatch):
     assert pick() == whole
 
 
-def test_kmeans_inertia_falls(spark, monkeypatch):
-    v = np.random.default_rng(6).normal(size=(80, 3))
-    sums = [pt.kmeans_groups(frame(spark, v), "g", "id", "vec", 4, rounds=r).agg(F.sum("d2")).first()[0] for r in (1, 3, 6)]
-    assert sums[0] >= sums[1] - 1e-9 >= sums[2] - 2e-9
-    monkeypatch.setattr(pt, "CENTRE_BYTES", 0)
-    assert pt.kmeans_groups(frame(spark, v), "g", "id", "vec", 4, rounds=6).agg(F.sum("d2")).first()[0] == pytest.approx(sums[2])
+def brute_kmeans(v, k):
+    """Farthest-first from the first row, then Lloyd until no label changes."""
+    m = [v[0]]
+    while len(m) < k:
+        d = np.min([((v - c) ** 2).sum(axis=1) for c in m], axis=0)
+        if d.max() <= 0:
+            break
+        m.append(v[d.argmax()])
+    m, old = np.array(m), None
+    while True:
+        d = ((v[:, None] - m[None]) ** 2).sum(axis=2)
+        label = d.argmin(axis=1)
+        if old is not None and (label == old).all():
+            return label, d.min(axis=1)
+        old = label
+        m = np.array([v[label == c].mean(axis=0) if (label == c).any() else m[c] for c in range(len(m))])
+
+
+def test_kmeans_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    plain = rng.normal(size=(120, 3))
+    repeated = np.concatenate([np.repeat([[0.0, 0.0, 0.0]], 300, axis=0), np.repeat(np.eye(3), 10, axis=0)])
+    for v in (plain, repeated, repeated[:50]):
+        label, d = brute_kmeans(v, 4)
+        got = pt.kmeans_groups(frame(spark, v), "g", "id", "vec", 4).collect()
+        assert {r.id: r.cluster for r in got} == dict(enumerate(label.tolist()))
+        assert sum(r.d2 for r in got) == pytest.approx(d.sum())
+    assert len({r.cluster for r in pt.kmeans_groups(frame(spark, repeated), "g", "id", "vec", 4).collect()}) == 4
+
+
+def test_ward_splits_rare_rows_off_many_copies(spark):
+    v = np.concatenate([np.repeat([[1.0, 0.0, 0.0]], 200, axis=0), [[0.0, 1.0, 0.0]] * 2])
+    assert len({r.cluster for r in pt.ward_splits(frame(spark, v), "g", "id", "vec", 0.5).collect()}) == 2
+    nulls = frame(spark, v).unionByName(spark.createDataFrame([("g", 999, None)], "g string, id long, vec array<double>"))
+    assert pt.kmeans_groups(nulls, "g", "id", "vec", 2).count() == len(v)
+
+
+def test_hdbscan_of_one_group_ignores_the_others(spark):
+    rng = np.random.default_rng(12)
+    a = np.concatenate([rng.normal(0, 0.02, (10, 3)) + c for c in np.eye(3)])
+    own = {r.id: r.label for r in dn.hdbscan(frame(spark, a), "g", "id", "vec", 3, 3, levels=6).collect()}
+    far = frame(spark, rng.normal(size=(8, 3)) * 5, "other").withColumn("id", F.col("id") + 1000)
+    both = dn.hdbscan(frame(spark, a).unionByName(far), "g", "id", "vec", 3, 3, levels=6).where("g = 'g'").collect()
+    assert {r.id: r.label for r in both} == own and len(set(own.values()) - {-1}) == 3
+
+
+def test_masks_may_be_missing_and_vectors_null(spark):
+    df = frame(spark, np.eye(3)).unionByName(spark.createDataFrame([("g", 9, None)], "g string, id long, vec array<double>"))
+    none = df.limit(0).select(F.col("id").alias("mask_id"), F.lit("m").alias("mask"), "vec")
+    assert {r.best for r in mk.best_mask(df, "vec", none).collect()} == {None}
+    assert {len(r.sims) for r in mk.mask_similarities(df, "vec", none).collect()} == {0}
+    one = df.where("id = 0").select(F.col("id").alias("mask_id"), F.lit("m").alias("mask"), "vec")
+    yes, no = mk.split_by_mask(df, "vec", one, 0.5)
+    assert {r.id for r in yes.collect()} == {0} and {r.id for r in no.collect()} == {1, 2, 9}
 
 
 def test_ward_splits_separate_groups(spark):
