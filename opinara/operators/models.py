@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -153,8 +153,23 @@ def grid_search(train: DataFrame, text: str, label: str, trees: tuple[int, ...]
                           evaluator=score, numFolds=folds, parallelism=4, seed=110).fit(train)
 
 
+def with_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``prediction`` and ``probabilities`` (an array, one for each class).  One-against-rest
+    models give each class the share that its own model's probability has in their sum."""
+    last = model.stages[-1]
+    if not isinstance(last, OneVsRestModel):
+        return model.transform(df).withColumn("probabilities", vector_to_array("probability"))
+    out = last.transform(PipelineModel(model.stages[:-1]).transform(df))
+    for i, one in enumerate(last.models):
+        one = one.copy().setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_y{i}")
+        out = one.transform(out).withColumn(f"_p{i}", F.get(vector_to_array(f"_p{i}"), F.lit(1))).drop(f"_r{i}", f"_y{i}")
+    each = [F.col(f"_p{i}") for i in range(len(last.models))]
+    total = sum(each[1:], each[0])
+    return out.withColumn("probabilities", F.array(*[F.try_divide(p, total) for p in each])).drop(*[f"_p{i}" for i in range(len(each))])
+
+
 def ranked_predictions(model: PipelineModel, df: DataFrame, key: str, cls: int = 1) -> DataFrame:
-    out = model.transform(df).withColumn("p", F.get(vector_to_array("probability"), F.lit(cls)))
+    out = with_probabilities(model, df).withColumn("p", F.get("probabilities", F.lit(cls)))
     return out.select(key, F.col("prediction").cast("int").alias("prediction"), "p").orderBy(F.desc("p"), key)
 
 

@@ -18,8 +18,10 @@ from opinara.operators import aspects as asp
 from opinara.operators import textflow as tf
 from opinara.session import cut, spread
 
-LEXICON_SIZE = 40
-STOP_SIZE = 20
+# A word stands in the lexicon or among the stop words if one review in so many holds it.
+# Either list is bounded by that number times the mean of distinct words in a review.
+LEXICON_SHARE = 20
+STOP_SHARE = 3
 
 
 class Tables:
@@ -76,14 +78,18 @@ class Tables:
         per_review = self.words.groupBy("id", "word").agg(F.count("*").alias("n"))
         return per_review.groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
 
+    @property
+    def n_reviews(self):
+        return self.reviews.agg(F.count("*")).scalar()
+
     @cached_property
     def stop_words(self) -> DataFrame:
-        return self.vocabulary.orderBy(F.desc("df"), "word").limit(STOP_SIZE).select("word")
+        return self.vocabulary.where(F.col("df") * STOP_SHARE >= self.n_reviews).select("word")
 
     @cached_property
     def lexicon(self) -> DataFrame:
         """grp, aspect, term: the frequent words of five letters and more."""
-        top = self.vocabulary.where(F.length("word") >= 5).orderBy(F.desc("df"), "word").limit(LEXICON_SIZE)
+        top = self.vocabulary.where((F.length("word") >= 5) & (F.col("df") * LEXICON_SHARE >= self.n_reviews))
         ranked = tf.rank_small(top, [F.desc("df"), F.asc("word")])
         return ranked.select(
             F.concat(F.lit("g"), F.col("rk") % 4).alias("grp"),
@@ -136,10 +142,10 @@ CTES: dict[str, str] = {
         FROM (SELECT id, spos, w, unnest(range(1, len(w) + 1)) AS i FROM (
             SELECT id, spos, regexp_extract_all(lower(sentence), '[\p{L}\p{N}_]+') AS w FROM sentences))""",
     "vocabulary": "SELECT word, count(DISTINCT id) AS df, count(*) AS n FROM words GROUP BY word",
-    "stop_words": f"SELECT word FROM vocabulary ORDER BY df DESC, word LIMIT {STOP_SIZE}",
+    "stop_words": f"SELECT word FROM vocabulary WHERE df * {STOP_SHARE} >= (SELECT count(*) FROM documents)",
     "lexicon": f"""SELECT 'g' || (rk % 4) AS grp, 'a' || (rk % 10) AS aspect, word AS term FROM (
-        SELECT word, row_number() OVER (ORDER BY df DESC, word) AS rk FROM vocabulary WHERE length(word) >= 5)
-        WHERE rk <= {LEXICON_SIZE}""",
+        SELECT word, row_number() OVER (ORDER BY df DESC, word) AS rk FROM vocabulary
+        WHERE length(word) >= 5 AND df * {LEXICON_SHARE} >= (SELECT count(*) FROM documents))""",
     "vectors": """SELECT vec_id AS id, label AS product, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings""",
     "dims": """SELECT id, product, CAST(unnest(range(1, len(vec) + 1)) AS INTEGER) AS k, unnest(vec) AS x
         FROM vectors""",

@@ -173,6 +173,11 @@ def _(t):
     return rv.cluster_product_reviews(product_rows(t), "hdbscan", levels=8)
 
 
+@query("r14_product_clusters_hierarchical")
+def _(t):
+    return rv.cluster_product_reviews(product_rows(t), "hierarchical", max_distance=3.2)
+
+
 @query("a7_cluster_summary", r"""SELECT CAST(v.product AS VARCHAR) AS g, CAST(r.rating AS VARCHAR) AS cluster, min_by(r.category, v.id) AS category, min_by(r.url, v.id) AS url,
     round(avg(r.rating), 6) AS rating_mean, count(*) AS elem_count, CAST(sum(len(list_filter(string_split_regex(r.text, '\s+'), lambda x: x <> ''))) AS BIGINT) AS word_count
     FROM vectors v JOIN reviews r ON r.id = v.id GROUP BY ALL""")

@@ -12,7 +12,9 @@ def r6(c):
     return F.round(c, 6)
 
 
-@query("f1_clean_spacing")
+# Without lookaround, for texts in which no dot follows another.
+@query("f1_clean_spacing", r"""SELECT id, rtrim(trim(regexp_replace(regexp_replace(text, '[\n\r\t]+|\s{2,}', ' ', 'g'), '\s*\.\s*', '. ', 'g')), '.') AS cleaned
+    FROM reviews""")
 def _(t):
     return t.reviews.select("id", tx.clean_spacing(F.col("text")).alias("cleaned"))
 
@@ -38,7 +40,7 @@ def _(t):
         lambda w: w <> '' AND NOT list_contains(s.stop, w)), ' ') AS processed
     FROM reviews r, (SELECT list(word) AS stop FROM stop_words) s""")
 def _(t):
-    stop = t.stop_words.agg(F.collect_list("word").alias("stop"))  # 20 words
+    stop = t.stop_words.agg(F.collect_list("word").alias("stop"))
     return t.reviews.withColumn("stop", stop.scalar()).select("id", tx.preprocess(F.col("text"), F.col("stop")).alias("processed"))
 
 
@@ -202,7 +204,7 @@ def _(t):
     return t.reviews.select("id", tx.drop_repeats(F.translate("text", "\n", "|")).alias("cleaned"))
 
 
-@query("f27_has_emoji")
+@query("f27_has_emoji", f"SELECT id, regexp_matches(text, '{tx.EMOJI}') AS plain, true AS marked FROM reviews")
 def _(t):
     return t.reviews.select("id", tx.has_emoji(F.col("text")).alias("plain"),
                             tx.has_emoji(F.concat("text", F.lit(" \U0001F600"))).alias("marked"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from opinara.operators import tables as tb
+from opinara.plans.q_textflow import CORRECTED
 from opinara.plans.registry import query
 from opinara.sources import files, pages
 from opinara.streaming import jobs as st
@@ -119,7 +120,7 @@ def _(t):
     rows = t.vectors.select("id", "vec").join(t.sentences.where("spos = 0").select("id", "sentence"), "id")
     source, sink = files.scratch(t.spark, "in"), files.scratch(t.spark, "out")
     rows.repartition(4).write.parquet(source)
-    words = [r[0] for r in t.stop_words.collect()]  # a fixed number of words
+    words = [r[0] for r in t.stop_words.collect()]
     st.label_stream(t.spark, source, rows.schema, sink, t.masks, words, threshold=0.4)
     return t.spark.read.parquet(sink).select("id", "label")
 
@@ -130,7 +131,7 @@ def _(t):
     return st.not_yet_written(t.reviews.select("id"), done)
 
 
-@query("i3_incremental_corrections")
+@query("i3_incremental_corrections", CORRECTED)
 def _(t):
     from opinara.operators import textflow as tf
     from opinara.session import cut
@@ -140,3 +141,28 @@ def _(t):
     fixes = cut(tf.corrections(t.vocabulary))
     st.correction_stream(t.spark, source, t.reviews.select("id", "text").schema, sink, fixes)
     return t.spark.read.parquet(sink).select("id", "corrected_text")
+
+
+@query("s9_review_rows", r"""SELECT id, pos, trim(regexp_replace(translate(text, '<>&', '   '), '\s+', ' ', 'g')) AS review_full_text, rating AS review_rating
+    FROM reviews, (VALUES (0), (2)) x(pos) WHERE trim(regexp_replace(translate(text, '<>&', '   '), '\s+', ' ', 'g')) <> ''""")
+def _(t):
+    """A page of three review items a review: its text, no text, and its text around a child element."""
+    plain = F.translate("text", "<>&", "   ")
+    stars = F.concat(F.lit('<span class="feedback__rating stars-line stars-line--'), "rating", F.lit('"></span>'))
+    item = lambda inner: F.concat(F.lit('<li class="comments__item feedback">'), stars, *inner, F.lit("</li>"))
+    text = lambda inner: [F.lit('<p class="feedback__text">'), *inner, F.lit("</p>")]
+    html = F.concat(F.lit("<ul>"), item(text([plain])), item([]), item(text([F.lit("<b>bold</b>"), plain])), F.lit("</ul>"))
+    return pages.review_rows(t.reviews.select("id", html.alias("html")), "html")
+
+
+@query("s12_nested_menu", """SELECT r_regionkey AS id, r_name AS name, '/' || r_regionkey AS url, CAST(NULL AS BIGINT) AS parent_id, '/' || r_name AS category FROM region
+    UNION ALL SELECT 100 + n_nationkey, n_name, '/' || n_nationkey, n_regionkey, '/' || r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey
+    UNION ALL SELECT 1000 + s_suppkey, s_name, '/' || s_suppkey, 100 + n_nationkey, '/' || r_name || '/' || n_name || '/' || s_name
+        FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
+def _(t):
+    node = lambda n, key, name, *more: F.struct((F.lit(n) + F.col(key)).cast("long").alias("id"), F.col(name).alias("name"),
+                                                F.concat(F.lit("/"), key).alias("url"), *more)
+    kids = lambda df, by, child: df.groupBy(by).agg(F.collect_list(child).alias("childs"))
+    nations = t.nation.join(kids(t.supplier, "s_nationkey", node(1000, "s_suppkey", "s_name")), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    regions = t.region.join(kids(nations, "n_regionkey", node(100, "n_nationkey", "n_name", "childs")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return pages.flatten_menu(regions.select(node(0, "r_regionkey", "r_name", "childs").alias("m")).select("m.*"))

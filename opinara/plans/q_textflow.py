@@ -76,7 +76,7 @@ def _(t):
         LEFT JOIN parents p ON p.id = c.id AND p.spos = c.spos AND p.pos = c.pos
     WHERE c.done AND c.is_head AND NOT (regexp_matches(c.text, '[[:punct:]]') AND p.pos IS NULL) GROUP BY ALL""")
 def _(t):
-    stop = [r[0] for r in t.stop_words.collect()]  # a fixed number of words
+    stop = [r[0] for r in t.stop_words.collect()]
     c = tf.clauses(t.tokens, KEYS, stop=F.array(*map(F.lit, stop)))
     return c.select(*KEYS, "clause", F.array_join(F.transform("toks", lambda x: x["lemma"]), " ").alias("lemmas"))
 
@@ -174,7 +174,7 @@ def _(t):
     SELECT l.id, l.spos, CAST(l.target AS INTEGER) AS target, t.pos, t.lemma AS word FROM links l JOIN tokens t ON t.id = l.id AND t.spos = l.spos AND t.pos = l.other
     WHERE t.tag IN ('ADJ', 'VERB') AND t.lemma NOT IN (SELECT word FROM stop_words)""")
 def _(t):
-    stop = F.array(*[F.lit(r[0]) for r in t.stop_words.collect()])  # a fixed number of words
+    stop = F.array(*[F.lit(r[0]) for r in t.stop_words.collect()])
     targets = t.tokens.join(t.lexicon.select(F.col("term").alias("lemma")), "lemma", "left_semi").select(
         *KEYS, F.col("pos").alias("target"))
     return tf.related_words(t.tokens, targets, KEYS, stop)
@@ -197,9 +197,12 @@ def _(t):
     return tf.corrections(t.vocabulary)
 
 
-@query("t15_corrected_texts", rf"""WITH {FIXES}, parts AS (SELECT id, i, p[i] AS part FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS i FROM (
+CORRECTED = rf"""WITH {FIXES}, parts AS (SELECT id, i, p[i] AS part FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS i FROM (
         SELECT id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS p FROM reviews)))
     SELECT id, string_agg(coalesce(suggestion, part), '' ORDER BY i) AS corrected_text FROM parts LEFT JOIN fixes ON word = lower(part)
-    GROUP BY id HAVING count(suggestion) > 0""")
+    GROUP BY id HAVING count(suggestion) > 0"""
+
+
+@query("t15_corrected_texts", CORRECTED)
 def _(t):
     return tf.correct_texts(t.reviews, tf.corrections(t.vocabulary))

@@ -7,6 +7,7 @@ from opinara.functions import vectors as vx
 from opinara.operators import masks as mk
 from opinara.operators import neighbours as nb
 from opinara.operators import textflow as tf
+from opinara.plans.q_clusters import dbscan_sql
 from opinara.plans.registry import query
 
 TOP_WORDS = 300
@@ -40,6 +41,13 @@ def _(t):
     return mk.mean_pair_distance(t.vectors, ["product"]).select("product", F.round("mean_distance", 6).alias("mean_distance"))
 
 
+@query("a17_mean_full_matrix", """SELECT a.product, round(sum(CASE WHEN a.id = b.id THEN 0 ELSE 1 - list_cosine_similarity(a.vec, b.vec) END) / count(*), 6) AS mean_distance
+    FROM vectors a JOIN vectors b ON a.product = b.product GROUP BY 1""")
+def _(t):
+    full = mk.mean_pair_distance(t.vectors, ["product"], whole_matrix=True)
+    return full.select("product", F.round("mean_distance", 6).alias("mean_distance"))
+
+
 @query("a18_centroids", "SELECT product, CAST(k - 1 AS INTEGER) AS k, round(avg(x), 6) AS x FROM dims GROUP BY product, k")
 def _(t):
     mean = t.vectors.groupBy("product").agg(vx.mean_vector(F.col("vec")).alias("m"))
@@ -63,7 +71,7 @@ def first_sentences(t):
     round(s, 6) AS max_similarity FROM mask_best JOIN (SELECT id, list_filter(string_split_regex(sentence, '\s+'), lambda x: x <> '') AS w FROM sentences
         WHERE spos = 0) USING (id), (SELECT list(word) AS stop FROM stop_words)""")
 def _(t):
-    words = [r[0] for r in t.stop_words.collect()]  # a fixed number of words
+    words = [r[0] for r in t.stop_words.collect()]
     rows = t.vectors.join(first_sentences(t), "id")
     return mk.label_sentences(rows, t.masks, words, threshold=0.4).select(
         "id", "label", F.round("max_similarity", 6).alias("max_similarity"))
@@ -140,7 +148,9 @@ def _(t):
     return yes.select("id", "mask").unionByName(no.select("id", F.lit(None).cast("string").alias("mask")))
 
 
-@query("e12_cluster_unassigned")
+@query("e12_cluster_unassigned", dbscan_sql("pts AS (SELECT CAST(v.product AS VARCHAR) AS g, v.id, vec FROM vectors v JOIN mask_best b ON b.id = v.id WHERE s <= 0.3)",
+       "SELECT a.g, a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.g = b.g AND 1 - list_cosine_similarity(a.vec, b.vec) <= 0.75 + 1e-9", "pts", 3)
+       + " WHERE coalesce(l.label, b.label, -1) >= 0")
 def _(t):
     from opinara.operators import density
 
