@@ -113,16 +113,15 @@ def _(t):
 # --- incremental ---------------------------------------------------------------------------
 
 
-@query("i1_stream_labels", r"""SELECT id, CASE WHEN s > 0.4 THEN 0 WHEN len(w) IN (1, 3, 4) AND list_has_any(w, stop) THEN 2 WHEN 0.4 - s < 0.1 THEN -1 ELSE 1 END AS label
-    FROM mask_best JOIN (SELECT id, list_filter(string_split_regex(sentence, '\s+'), lambda x: x <> '') AS w FROM sentences
-        WHERE spos = 0) USING (id), (SELECT list(word) AS stop FROM stop_words)""")
+@query("i1_stream_labels", r"""SELECT id, spos, CASE WHEN s > 0.4 THEN 0 WHEN len(w) IN (1, 3, 4) AND list_has_any(w, stop) THEN 2 WHEN 0.4 - s < 0.1 THEN -1 ELSE 1 END AS label
+    FROM mask_best JOIN (SELECT id, spos, list_filter(string_split_regex(sentence, '\s+'), lambda x: x <> '') AS w FROM sentences) USING (id), (SELECT list(word) AS stop FROM stop_words)""")
 def _(t):
-    rows = t.vectors.select("id", "vec").join(t.sentences.where("spos = 0").select("id", "sentence"), "id")
+    rows = t.vectors.select("id", "vec").join(t.sentences.select("id", "spos", "sentence"), "id")
     source, sink = files.scratch(t.spark, "in"), files.scratch(t.spark, "out")
     rows.repartition(4).write.parquet(source)
     words = [r[0] for r in t.stop_words.collect()]
     st.label_stream(t.spark, source, rows.schema, sink, t.masks, words, threshold=0.4)
-    return t.spark.read.parquet(sink).select("id", "label")
+    return t.spark.read.parquet(sink).select("id", "spos", "label")
 
 
 @query("i2_resume", "SELECT id FROM reviews WHERE rating > 3")

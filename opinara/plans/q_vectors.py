@@ -10,17 +10,20 @@ from opinara.operators import textflow as tf
 from opinara.plans.q_clusters import dbscan_sql
 from opinara.plans.registry import query
 
-TOP_WORDS = 300
+def digest(word, digits):
+    """The first hexadecimal digits of a word's MD5 as a number, in both engines."""
+    return F.conv(F.substring(F.md5(word), 1, digits), 16, 10).cast("long")
 
 
 def word_vectors(t):
-    """word, vec: the most frequent words take the vectors in the order of ids."""
-    top = tf.rank_small(t.vocabulary.orderBy(F.desc("df"), "word").limit(TOP_WORDS), [F.desc("df"), F.asc("word")])
-    return top.select("word", (F.col("rk") - 1).cast("long").alias("id")).join(t.vectors.select("id", "vec"), "id").select("word", "vec")
+    """word, vec: every word of the corpus takes the vector that its digest picks."""
+    n = t.embeddings.agg(F.count("*")).scalar()
+    words = t.vocabulary.select("word", (digest(F.col("word"), 6) % n).alias("id"))
+    return words.join(t.vectors.select("id", "vec"), "id").select("word", "vec")
 
 
-WORD_VECTORS = f"""wv AS (SELECT word, vec FROM (SELECT word, row_number() OVER (ORDER BY df DESC, word) - 1 AS id FROM vocabulary)
-    JOIN vectors USING (id) WHERE id < {TOP_WORDS})"""
+WORD_VECTORS = """wv AS (SELECT word, vec FROM (SELECT word, CAST('0x' || md5(word)[:6] AS BIGINT) % (SELECT count(*) FROM embeddings) AS id FROM vocabulary)
+    JOIN vectors USING (id))"""
 
 
 @query("j7_best_match", "SELECT id, mask_id, mask, round(s, 6) AS s FROM mask_best")
@@ -63,18 +66,13 @@ def _(t):
                      F.round(vx.norm(v), 6).alias("n"), F.round(vx.euclidean(v, m), 6).alias("e"))
 
 
-def first_sentences(t):
-    return t.sentences.where("spos = 0").select("id", "sentence")
-
-
-@query("e3_mask_labels", r"""SELECT id, CASE WHEN s > 0.4 THEN 0 WHEN len(w) IN (1, 3, 4) AND list_has_any(w, stop) THEN 2 WHEN 0.4 - s < 0.1 THEN -1 ELSE 1 END AS label,
-    round(s, 6) AS max_similarity FROM mask_best JOIN (SELECT id, list_filter(string_split_regex(sentence, '\s+'), lambda x: x <> '') AS w FROM sentences
-        WHERE spos = 0) USING (id), (SELECT list(word) AS stop FROM stop_words)""")
+@query("e3_mask_labels", r"""SELECT id, spos, CASE WHEN s > 0.4 THEN 0 WHEN len(w) IN (1, 3, 4) AND list_has_any(w, stop) THEN 2 WHEN 0.4 - s < 0.1 THEN -1 ELSE 1 END AS label,
+    round(s, 6) AS max_similarity FROM mask_best JOIN (SELECT id, spos, list_filter(string_split_regex(sentence, '\s+'), lambda x: x <> '') AS w FROM sentences) USING (id), (SELECT list(word) AS stop FROM stop_words)""")
 def _(t):
     words = [r[0] for r in t.stop_words.collect()]
-    rows = t.vectors.join(first_sentences(t), "id")
+    rows = t.vectors.join(t.sentences.select("id", "spos", "sentence"), "id")
     return mk.label_sentences(rows, t.masks, words, threshold=0.4).select(
-        "id", "label", F.round("max_similarity", 6).alias("max_similarity"))
+        "id", "spos", "label", F.round("max_similarity", 6).alias("max_similarity"))
 
 
 @query("e5_key_sentences", """SELECT product, max_by(id, (round(s, 12), -id)) AS id, round(max(s), 6) AS sim FROM (
@@ -127,12 +125,12 @@ def _(t):
     return mk.aspect_groups(cats, groups.withColumn("mask", F.concat(F.lit("m"), "mask_id")), "m0", 0.4)
 
 
-@query("e10_aspect_names", f"""WITH {WORD_VECTORS}, terms AS (SELECT word, aspect, vec FROM wv JOIN lexicon ON term = word),
-    b AS (SELECT p.word AS phrase, max_by(t.aspect, list_cosine_similarity(p.vec, t.vec)) AS near, max(list_cosine_similarity(p.vec, t.vec)) AS s FROM wv p, terms t GROUP BY 1)
+@query("e10_aspect_names", f"""WITH {WORD_VECTORS}, terms AS (SELECT word, aspect, vec, CAST('0x' || md5(word)[:12] AS BIGINT) AS mid FROM wv JOIN lexicon ON term = word),
+    b AS (SELECT p.word AS phrase, max_by(t.aspect, (round(list_cosine_similarity(p.vec, t.vec), 12), -t.mid)) AS near, max(list_cosine_similarity(p.vec, t.vec)) AS s FROM wv p, terms t GROUP BY 1)
     SELECT phrase, coalesce(l.aspect, CASE WHEN s >= 0.3 THEN near END, phrase) AS aspect FROM b LEFT JOIN lexicon l ON l.term = phrase""")
 def _(t):
     wv = word_vectors(t)
-    terms = t.lexicon.join(wv, F.col("term") == F.col("word")).select(F.xxhash64("term").alias("mask_id"), F.col("aspect").alias("mask"), "vec")
+    terms = t.lexicon.join(wv, F.col("term") == F.col("word")).select(digest(F.col("term"), 12).alias("mask_id"), F.col("aspect").alias("mask"), "vec")
     return mk.aspect_names(wv.withColumnRenamed("word", "phrase"), t.lexicon, terms, 0.3)
 
 
