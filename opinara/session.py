@@ -12,6 +12,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FOLDERS: list[tempfile.TemporaryDirectory] = []  # of local sessions, deleted when the process ends
+
+
 def local_session(cores: int | str = "*", name: str = "opinara") -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
     return (
@@ -35,7 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="opinara-ckpt-")
+        _FOLDERS.append(tempfile.TemporaryDirectory(prefix="opinara-ckpt-", ignore_cleanup_errors=True))
+        folder = _FOLDERS[-1].name
     sc.setCheckpointDir(folder)
 
 
