@@ -306,27 +306,35 @@ def keyphrases(sentences: DataFrame, stop: DataFrame, key: str = "id", n: int =
 def corrections(vocabulary: DataFrame, rare: int = 2, ratio: int = 10) -> DataFrame:
     """word -> suggestion for rare words with a far more frequent word one edit away.
 
-    Words meet on keys with one letter deleted.  A key keeps only its most frequent
-    word, so no pairs are formed: a substitution shares (position, rest), an
-    insertion or deletion makes one word the other's rest.
+    Words meet on keys with one letter deleted.  Only words of at most ``rare``
+    occurrences ask and only words of at least ``ratio`` answer, and a key keeps only its
+    most frequent answer, so no pairs are formed: a substitution shares (position, rest),
+    an insertion or deletion makes one word the other's rest.
     """
-    v = vocabulary.select("word", "n").where(F.length("word") > 1)
-    cuts = v.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at")).withColumn(
-        "rest", F.concat(F.substr("word", F.lit(1), F.col("at") - 1), F.substr("word", F.col("at") + 1)))
+    v = vocabulary.select("word", "n").where((F.length("word") > 1) & (F.col("n") >= 1))
+    asked, answers = v.where(F.col("n") <= rare), v.where(F.col("n") >= ratio)
+
+    def cuts(words):
+        each = words.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+        return each.withColumn("rest", F.concat(F.substr("word", F.lit(1), F.col("at") - 1), F.substr("word", F.col("at") + 1)))
+
     best = F.max(F.struct("n", "word")).alias("b")
-    changed = cuts.join(cuts.groupBy("at", "rest").agg(best), ["at", "rest"]).select("word", "n", "b")
-    longer = v.join(cuts.groupBy("rest").agg(best), v.word == F.col("rest")).select(v.word, v.n, "b")
-    shorter = cuts.join(v.select(F.col("word").alias("rest"), F.struct("n", F.col("word")).alias("b")), "rest").select(
+    open_, given = cuts(asked), cuts(answers)
+    changed = open_.join(given.groupBy("at", "rest").agg(best), ["at", "rest"]).select("word", "n", "b")
+    longer = asked.join(given.groupBy(F.col("rest").alias("word")).agg(best), "word").select("word", "n", "b")
+    shorter = open_.join(answers.select(F.col("word").alias("rest"), F.struct("n", F.col("word")).alias("b")), "rest").select(
         "word", "n", "b")
-    found = changed.unionByName(longer).unionByName(shorter).where(
-        (F.col("n") <= rare) & (F.col("b.n") >= F.col("n") * ratio))
+    found = changed.unionByName(longer).unionByName(shorter).where(F.col("b.n") >= F.col("n") * ratio)
     return found.groupBy("word").agg(F.max("b").alias("b")).select("word", F.col("b.word").alias("suggestion"))
 
 
 def correct_texts(texts: DataFrame, fixes: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """key, corrected text for the texts a correction changes; spacing is kept."""
+    """key, corrected text for the texts a correction changes; spacing is kept.  Only
+    texts that hold a word with a correction are taken apart and put together again."""
     word_or_gap = rf"{tx.WORD}|[^\p{{L}}\p{{N}}_]+"
-    parts = texts.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(word_or_gap), F.lit(0))).alias("i", "part"))
+    held = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(tx.WORD), F.lit(0)))).alias("word"))
+    touched = held.join(fixes, "word", "left_semi").select(key).distinct()
+    parts = texts.join(touched, key, "left_semi").select(key, F.posexplode(F.regexp_extract_all(text, F.lit(word_or_gap), F.lit(0))).alias("i", "part"))
     touched = parts.withColumn("word", F.lower("part")).join(fixes, "word", "left")
     whole = touched.groupBy(key).agg(
         F.count("suggestion").alias("changes"),
