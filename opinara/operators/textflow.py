@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from opinara.functions import text as tx
@@ -161,38 +158,13 @@ def key_phrases(tokens: DataFrame, keys: list[str]) -> DataFrame:
 # --- words around an aspect --------------------------------------------------------
 
 
-LINKS = T.ArrayType(T.StructType([
-    T.StructField("target", T.IntegerType()), T.StructField("other", T.IntegerType()),
-    T.StructField("below", T.BooleanType()),
-]))
-
-
-@F.pandas_udf(LINKS)
-def _tree_links(heads: pd.Series, targets: pd.Series) -> pd.Series:
-    """Positions below and above each target position of a sentence tree."""
-
-    def links(head, wanted):
-        head = np.asarray(head, dtype=np.int64)
-        out = []
-        for t in wanted:
-            below = np.zeros(len(head), dtype=bool)
-            below[t] = True
-            while True:
-                grown = below | below[head]
-                grown[head == np.arange(len(head))] = below[head == np.arange(len(head))]
-                if (grown == below).all():
-                    break
-                below = grown
-            below[t] = False
-            out += [(int(t), int(i), True) for i in np.flatnonzero(below)]
-            cur, seen = int(t), {int(t)}
-            while int(head[cur]) not in seen:
-                cur = int(head[cur])
-                seen.add(cur)
-                out.append((int(t), cur, False))
-        return out
-
-    return pd.Series([links(h, w) for h, w in zip(heads, targets)])
+def _ancestors(tk: Column) -> Column:
+    """For each position of a sentence the positions above it, nearest first in a tree:
+    log2(n) rounds, each adding the ancestors of the ancestors known so far."""
+    up = F.transform(tk, lambda t: F.when(t["head"] == t["pos"], F.array().cast("array<int>")).otherwise(F.array(t["head"].cast("int"))))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(tk) + 1)).cast("int") + 1)
+    more = lambda acc: F.transform(acc, lambda a: F.array_distinct(F.concat(a, F.flatten(F.transform(a, lambda i: F.get(acc, i))))))
+    return F.aggregate(rounds, up, lambda acc, _: more(acc))
 
 
 def related_words(tokens: DataFrame, targets: DataFrame, keys: list[str], skip: Column,
@@ -205,14 +177,23 @@ def related_words(tokens: DataFrame, targets: DataFrame, keys: list[str], skip:
     wanted = targets.select(*keys, "target").distinct().groupBy(*keys).agg(
         F.sort_array(F.collect_list("target")).alias("targets")
     )
-    heads = F.transform("tk", lambda t: t["head"])
-    linked = F.transform(_tree_links(heads, "targets"), lambda x: F.struct(
-        x["target"].alias("target"), x["below"].alias("below"), F.get("tk", x["other"]).alias("o"),
-        F.get("tk", F.get("tk", x["other"])["head"]).alias("p")))
+    tk, up = F.col("tk"), F.col("up")
+    told = lambda o: o["tag"].isin("ADJ", "ADV", "VERB")
+
+    def found(t, below, tokens_):
+        return F.transform(F.filter(tokens_, told), lambda o: F.struct(
+            t.alias("target"), F.lit(below).alias("below"), o.alias("o"), F.get(tk, o["head"]).alias("p")))
+
+    def links(t):
+        under = F.filter(tk, lambda o: (o["pos"] != t) & F.array_contains(F.get(up, o["pos"]), t))
+        over = F.transform(F.array_remove(F.get(up, t), t), lambda i: F.get(tk, i))
+        return F.concat(found(t, True, under), found(t, False, over))
+
     hits = (
         _sentence_rows(tokens.join(wanted.select(*keys), keys, "left_semi"), keys)
         .join(wanted, keys)
-        .select(*keys, F.explode(linked).alias("x"))
+        .withColumn("up", _ancestors(tk))
+        .select(*keys, F.explode(F.flatten(F.transform("targets", links))).alias("x"))
         .select(*keys, "x.*")
     )
     plain = F.when(
