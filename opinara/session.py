@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 _FOLDERS: list[tempfile.TemporaryDirectory] = []  # of local sessions, deleted when the process ends
 
 
-def local_session(cores: int | str = "*", name: str = "opinara") -> SparkSession:
+def local_session(cores: int | str = "*", name: str = "opinara", conf: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -26,6 +26,7 @@ def local_session(cores: int | str = "*", name: str = "opinara") -> SparkSession
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=conf or {})
         .getOrCreate()
     )
 
