@@ -384,12 +384,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
 
     def double(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = _ranges(right, "open")
-        held, table = [], []
+        sent, held, table, size = [], [], [], 0
         for k, h, t in zip(*(left.column(c).to_pylist() for c in ("__repeats_key", "__repeats_hash")), left.column("__repeats_bytes")):
-            if (ranges := wanted.get((k, h))) is not None:
-                held += start_rows(t.as_py(), ranges, len(table))
-                table.append((k, h))
-        sent = dealt("start", np.concatenate(held), np.array(table, DOC), n) if held else ()
+            if (ranges := wanted.get((k, h))) is None:
+                continue
+            for part in start_rows(t.as_py(), ranges, len(table)):
+                held.append(part)
+                size += len(part)
+            table.append((k, h))
+            if size >= FLUSH:
+                sent += dealt("start", np.concatenate(held), np.array(table, DOC), n)
+                held, table, size = [], [], 0
+        if held:
+            sent += dealt("start", np.concatenate(held), np.array(table, DOC), n)
         columns = list(zip(*sent)) or [[], [], [], []]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, blob_schema.types)], schema=blob_schema)
 
