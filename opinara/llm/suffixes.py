@@ -24,8 +24,8 @@ from opinara.llm.shared import written
 
 LENGTH = 100
 GRAM = 32
-SLICE = 1 << 21
-POSITION_BITS = 23  # of a slice and its overlap
+SLICE = 1 << 20
+POSITION_BITS = 23  # more than a slice of whole documents and one long part can hold
 
 
 def _odd(k: int, family: int) -> np.uint64:
@@ -137,7 +137,7 @@ RANGE = np.dtype([("lo", "<u4"), ("hi", "<u4"), ("doc", "<u4")])
 DOC = np.dtype([("key", "<i8"), ("hash", "<i8")])
 KINDS = {"anchor": ANCHOR, "start": START, "repeat": RANGE, "open": RANGE}
 BLOB = "bucket int, kind string, docs binary, rows binary"
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def blobs(kind: str, rows: np.ndarray, docs: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, str, bytes, bytes]]:
