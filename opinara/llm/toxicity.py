@@ -22,8 +22,15 @@ WORD = re.compile(r"\w+")
 BLOCK = 64
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+def features(text: str | None) -> Counter:
+    """Counts of a text's words and, with ``^`` in front, of the beginnings of its longer
+    words (4 and 5 letters), in which inflected and compound forms meet."""
+    counts = Counter(WORD.findall(text.lower())) if text else Counter()
+    for w, n in list(counts.items()):
+        if len(w) > 5:
+            counts["^" + w[:4]] += n
+            counts["^" + w[:5]] += n
+    return counts
 
 
 class Index:
@@ -108,7 +115,7 @@ class Scorer:
 
     def counts(self, text: str | None) -> dict[int, float]:
         known = self.index.terms
-        return Counter(known[w] for w in words(text) if w in known)
+        return {known[t]: n for t, n in features(text).items() if t in known}
 
     def score(self, counts: dict[int, float]) -> tuple[float, list[dict]]:
         ix = self.index
@@ -128,7 +135,7 @@ def _term_counts(rows: DataFrame, label: str | None, known: list[str] | None) ->
         for f in frames:
             n, n1 = Counter(), Counter()
             for t, y in zip(f["text"], f["y"]):
-                found = set(words(t))
+                found = features(t).keys()
                 found = found & keep if keep is not None else found
                 n.update(found)
                 if y:
@@ -139,16 +146,19 @@ def _term_counts(rows: DataFrame, label: str | None, known: list[str] | None) ->
     return part.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
 
 
-def informative_terms(rows: DataFrame, toxic: int, clean: int, bound: int = 2048, least: int = 4, lift: float = 3.0) -> list[str]:
+def informative_terms(rows: DataFrame, toxic: int, clean: int, bound: int = 2048, least: int = 4, share: float = 0.02, lift: float = 3.0) -> list[str]:
     """Terms whose share differs between the labels ``lift`` times and beyond chance
-    (log-likelihood ratio of 15 and more), the most telling ``bound`` of them."""
+    (log-likelihood ratio of 15 and more) and that ``share`` of one label's documents have
+    (at least ``least``), so that the rare words of one copied document tell nothing; the
+    most telling ``bound`` of them."""
     a, b = F.col("n1"), F.col("n") - F.col("n1")
     pa, pb = (a + 0.5) / (toxic + 1.0), (b + 0.5) / (clean + 1.0)
     total = toxic + clean
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     g = 2 * (part(a, F.col("n") * (toxic / total)) + part(b, F.col("n") * (clean / total))
              + part(toxic - a, (total - F.col("n")) * (toxic / total)) + part(clean - b, (total - F.col("n")) * (clean / total)))
-    counted = _term_counts(rows, "y", None).where(F.col("n") >= least)
+    common = (a >= max(least, share * toxic)) | (b >= max(least, share * clean))
+    counted = _term_counts(rows, "y", None).where(common)
     picked = counted.withColumn("g", g).where((F.col("g") >= 15) & (F.greatest(pa / pb, pb / pa) >= lift))
     return sorted(r.term for r in picked.orderBy(F.desc("g"), "term").limit(bound).select("term").collect())
 
@@ -178,7 +188,7 @@ def fit(labelled: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str =
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [Counter(place[w] for w in words(t) if w in place) for t in f["text"]]
+            found = [{place[t]: n for t, n in features(x).items() if t in place} for x in f["text"]]
             yield pd.DataFrame({"key": f["key"], "y": f["y"], "terms": [list(c) for c in found],
                                 "counts": [[float(v) for v in c.values()] for c in found]})
 
