@@ -48,6 +48,29 @@ class Graph:
             end = min(len(x), done + min(1024, max(64, done // 2)))
             self._insert(done, end, beam)
             done = end
+        self._reach_all()
+
+    def _reach_all(self) -> None:
+        """In a tight group neighbour lists overflow and a node may be in none.  Every node
+        that its nearest neighbour does not list gets two links: from that one of its six
+        nearest neighbours which has the fewest such links, and likewise from one that is
+        itself listed."""
+        near = self.near[0]
+        first = np.maximum(near[:, 0], 0)
+        lost = np.flatnonzero((near[:, 0] >= 0) & ~(near[first] == np.arange(len(near))[:, None]).any(axis=1))
+        given: dict[int, list[int]] = {}
+        alone = set(lost.tolist())
+        for v in lost.tolist():
+            close = [p for p in near[v].tolist() if p >= 0]
+            for some in (close[:6], [p for p in close if p not in alone][:6]):
+                if some:
+                    p = min(some, key=lambda p: len(given.get(p, ())))
+                    if v not in given.setdefault(p, []):
+                        given[p].append(v)
+        extra = np.full((len(near), max(map(len, given.values()), default=0)), -1, np.int32)
+        for p, vs in given.items():
+            extra[p, :len(vs)] = vs
+        self.near[0] = np.hstack([near, extra])
 
     def _insert(self, start: int, end: int, beam: int) -> None:
         """Link the nodes from ``start``: to what a search of the graph so far finds and to one another."""
@@ -155,6 +178,11 @@ class Graph:
         rows, nodes = [], []
         for at in range(0, len(q), 512):
             part = q[at:at + 512]
+            if beam >= len(self.x):  # a beam as wide as the shard holds all of it
+                r, n = np.nonzero(part @ self.x.T >= least)
+                rows.append(r + at)
+                nodes.append(n)
+                continue
             ids, sims = self.beams(part, beam)
             seen = np.zeros((len(part), len(self.x)), bool)
             r, c = np.nonzero(sims >= least - MARGIN)
@@ -263,7 +291,7 @@ def _cell(c, least: float, recall: float, beam: int, sample: int) -> pd.DataFram
     graph, q = Graph.unpack(unit(xs), c.graph), unit(qs)
     low = least - 1e-5  # what single precision may miss is verified below
     while beam < len(ids) and graph.audit(q, low, beam, sample, c.of * 7919 + c.shard) < recall:
-        beam *= 2
+        beam = beam * 4 if beam < 512 else len(ids)  # 32, 128, 512, all
     r, n = graph.within(q, low, min(beam, len(ids)))
     qn, xn = np.sqrt((qs * qs).sum(axis=1)), np.sqrt((xs * xs).sum(axis=1))
     true = np.concatenate([np.einsum("rd,rd->r", qs[r[k:k + 65536]], xs[n[k:k + 65536]]) / (qn[r[k:k + 65536]] * xn[n[k:k + 65536]])
