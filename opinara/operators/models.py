@@ -78,8 +78,11 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.1, se
     per = per.withColumn("_end", F.sum("_c").over(run)).withColumn(
         "_want", F.ceil(F.sum("_c").over(W.partitionBy(label)) * share))
     rows = rows.join(per, [label, "_b"])
+    before = F.col("_end") - F.col("_c")
+    border = (before < F.col("_want")) & (F.col("_want") < F.col("_end"))
     inside = F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", key))
-    held = rows.withColumn("_held", F.col("_end") - F.col("_c") + inside <= F.col("_want"))
+    held = rows.where(~border).withColumn("_held", F.col("_end") <= F.col("_want")).unionByName(
+        rows.where(border).withColumn("_held", before + inside <= F.col("_want")))
     drop = ["_h", "_b", "_c", "_end", "_want", "_held"]
     return held.where(~F.col("_held")).drop(*drop), held.where("_held").drop(*drop)
 
