@@ -142,12 +142,17 @@ def mask_flags(rows: DataFrame, vec: str, masks: DataFrame, threshold: float = 0
     return sims.withColumn("flags", F.sort_array(F.transform(hits, lambda e: e["key"]))).drop("sims")
 
 
-def split_by_mask(rows: DataFrame, vec: str, masks: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """(rows assigned to their best mask, rows assigned to none); a row without a vector
-    is assigned to none"""
+def assign_masks(rows: DataFrame, vec: str, masks: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """``mask``: the name of the best mask, null for a row close to none or without a vector."""
     found = best_mask(rows, vec, masks)
-    close = F.coalesce(F.col("best.s") > threshold, F.lit(False))
-    return found.where(close).withColumn("mask", F.col("best.mask")).drop("best"), found.where(~close).drop("best")
+    return found.withColumn("mask", F.when(F.col("best.s") > threshold, F.col("best.mask"))).drop("best")
+
+
+def split_by_mask(rows: DataFrame, vec: str, masks: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """(rows assigned to their best mask, rows assigned to none); whoever needs both
+    together takes :func:`assign_masks`, which compares once."""
+    found = assign_masks(rows, vec, masks, threshold)
+    return found.where("mask IS NOT NULL"), found.where("mask IS NULL").drop("mask")
 
 
 def near_centroid(rows: DataFrame, keys: list[str], key: str, vec: str) -> DataFrame:

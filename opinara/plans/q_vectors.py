@@ -142,8 +142,7 @@ def _(t):
 
 @query("e12_mask_split", """SELECT id, CASE WHEN s > 0.3 THEN mask END AS mask FROM mask_best""")
 def _(t):
-    yes, no = mk.split_by_mask(t.vectors, "vec", t.masks, 0.3)
-    return yes.select("id", "mask").unionByName(no.select("id", F.lit(None).cast("string").alias("mask")))
+    return mk.assign_masks(t.vectors, "vec", t.masks, 0.3).select("id", "mask")
 
 
 @query("e12_cluster_unassigned", dbscan_sql("pts AS (SELECT CAST(v.product AS VARCHAR) AS g, v.id, vec FROM vectors v JOIN mask_best b ON b.id = v.id WHERE s <= 0.3)",
