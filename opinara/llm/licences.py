@@ -1,8 +1,9 @@
 """Licence recognition: sentences to identifiers, identifier sequences to licences.
 
-A text is cut into sentences, each is normalised and looked up in a table of known
-licence sentences, and the sequence of identifiers found is held against ordered
-rules.  The tables are small fixed values, so everything stays in one projection.
+A text is laid out as words with marks where a line or a sentence ends, known licence
+sentences are found between two marks however their lines are wrapped, and the sequence
+of identifiers found is held against ordered rules.  The tables are small fixed values,
+so everything stays in one projection.
 """
 
 from __future__ import annotations
@@ -35,6 +36,13 @@ SENTENCES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
+# Where a known sentence itself holds a sentence mark, the words before it.
+CUTS = {
+    "gpl-free": "this program is free software",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "mpl-terms": "this source code form is subject to the terms of the mozilla public license v",
+}
+
 # Licence, kind of evidence, identifiers that follow one another.
 RULES = (
     ("MIT", "notice", ("mit-name",)),
@@ -55,13 +63,26 @@ RULES = (
 )
 
 
-def sentence_list(text: Column) -> Column:
-    """Sentences: lines, cut again after ., !, ?, ; or : before white space."""
-    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;:])[ \t\r]+", "$1\n"), "\n")
+def laid_out(text: Column) -> Column:
+    """Lower-case words parted by one character: ``S`` where a line ends, ``H`` where a
+    sentence (., !, ?, ; or : before white space) or a paragraph ends, else a blank.
+    Comment marks at the beginning of a line are not part of it."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\r\n?", "\n")
+    t = F.regexp_replace(t, r"(?md)^[^a-z0-9\n]*+(?:(?:dnl|rem)[ \t]++)?", "")
+    t = F.regexp_replace(t, r"[.!?;:][ \t]*+\n++|[.!?;:][ \t]++|\n[ \t]*+\n[ \t\n]*+", "H")
+    t = F.regexp_replace(F.concat(F.lit("H"), F.regexp_replace(t, "\n", "S"), F.lit("H")), "[^a-z0-9HS]++", " ")
+    return F.regexp_replace(F.regexp_replace(t, " ?S[ S]*+", "S"), "[ S]*H[ SH]*+", "H")
+
 
+def _pattern() -> str:
+    """Known sentences between two marks; a line may end anywhere inside, a sentence only
+    where the known one has a mark.  Of two with the same beginning the longer is taken."""
+    def one(key: str) -> str:
+        head = CUTS.get(key, "")
+        tail = SENTENCES[key][len(head):].strip().replace(" ", "[ S]")
+        return head.replace(" ", "[ S]") + ("[ SH]" if head else "") + tail
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    return "(?<=[HS])(?:" + "|".join(map(one, sorted(SENTENCES, key=lambda k: -len(SENTENCES[k])))) + ")(?=[HS])"
 
 
 def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -71,10 +92,9 @@ def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
     A rule matches where its identifiers follow one another with no other known
     sentence between.  A null or empty text has two empty arrays.
     """
-    longest = 2 * max(map(len, SENTENCES.values()))
     known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (s, k)])
-    lines = F.filter(sentence_list(F.col(text)), lambda s: (F.length(s) >= 8) & (F.length(s) <= longest))
-    ids = F.filter(F.transform(lines, lambda s: F.element_at(known, normalised(s))), lambda k: k.isNotNull())
+    found = F.regexp_extract_all(laid_out(F.col(text)), F.lit(_pattern()), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(known, F.translate(s, "HS", "  ")))
     joined = F.concat(F.lit(","), F.concat_ws(",", F.col("licence_sentences")), F.lit(","))
     hit = [F.when(F.contains(joined, F.lit("," + ",".join(seq) + ",")),
                   F.struct(F.lit(name).alias("licence"), F.lit(kind).alias("evidence"))) for name, kind, seq in RULES]

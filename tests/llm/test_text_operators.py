@@ -214,6 +214,79 @@ def test_licences(spark, make_docs):
     assert rows[52].licences[0].licence == "Apache-2.0" and rows[1].licences == []
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.""",
+    "Unlicense": """This is free and unencumbered software released into the public
+domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software.""",
+    "GPL-3.0": "This work is licensed under the GNU General Public\nLicense version 3.",
+    "CC-BY-NC-4.0": "Licensed under\nCC BY-NC 4.0.",
+    "CC-BY-4.0": "Licensed under CC\nBY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA\n4.0.",
+}
+
+
+def test_every_licence_is_found_in_its_wrapped_text(spark, make_docs):
+    marks = [("", "", ""), ("", "# ", ""), ("/*\n", " * ", "\n */"), ("", "// ", ""), ("", ";; ", ""), ("", "dnl ", "")]
+    texts = [(name, a + "".join(m + line + end for line in t.split("\n")) + z) for name, t in WRAPPED.items()
+             for a, m, z in marks for end in ("\n", "\r\n")]
+    rows = {r.doc_id: r for r in licences.recognise(make_docs([(i, t) for i, (_, t) in enumerate(texts)])).collect()}
+    for i, (name, t) in enumerate(texts):
+        assert {x.licence for x in rows[i].licences} == {name}, t
+    assert rows[0].licence_sentences == ["mit-title2", "mit-grant", "mit-notice", "as-is-mit"]
+    assert {name for name, _, _ in licences.RULES} == set(WRAPPED)
+    names = make_docs([(0, "Licensed under the Apache License, Version 2.0. The License\nx"), (1, "MIT License terms\nthe\n\nMIT License\nx")])
+    assert [r.licence_sentences for r in licences.recognise(names).sort("doc_id").collect()] == [["apache-name"], ["mit-title2"]]
+
+
 def test_language_network_learns_and_its_gradient_is_right():
     rng = random.Random(0)
     words = {"aa": ["the", "and", "with"], "bb": ["der", "und", "nicht"], "cc": ["les", "très", "où"]}
