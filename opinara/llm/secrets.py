@@ -1,14 +1,16 @@
 """Secret scan: fixed patterns plus dictionary-primed compression novelty.
 
-A candidate is a long token run in a sensitive context.  Its novelty is the number
-of bytes by which the compressed surroundings grow when the candidate is put back,
-with a compressor primed on a dictionary of ordinary identifiers.  A word that the
-surroundings or the dictionary explain costs a few bytes; a key costs its length.
+A candidate is a token run in a sensitive context.  Its novelty is the number of bytes
+by which the compressed surroundings, without other copies of the candidate, grow when
+it is put back, with a compressor primed on a dictionary of ordinary identifiers.  A
+word that the surroundings or the dictionary explain costs a few bytes; a key costs its
+length, however often it is repeated.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,7 +55,7 @@ def _tools():
     assign, access, runs = (re.compile(p, (re.I | re.A) if k == "assign" else 0) for k, p, _, _ in PATTERNS[:2] + (
         ("hex", PATTERNS[2][1].replace("+", "{%d,}" % PATTERNS[2][3]), 0, 0),))
     sensitive = re.compile("|".join(SENSITIVE.split()), re.I | re.A)
-    words = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+    words = re.compile(r"[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*={0,2}")
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return quick, assign, access, runs, sensitive, words, zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False)
 
@@ -61,8 +63,10 @@ def _tools():
 def novelty(text: str, start: int, end: int, around: int = 256) -> float:
     """Marginal compressed bytes of ``text[start:end]`` per byte of it."""
     size = lambda s: len(_tools()[-1].compress(s.encode("utf-8", "replace")))
-    before, after = text[max(0, start - around):start], text[end:end + around]
-    return (size(before + after + text[start:end]) - size(before + after)) / (end - start)
+    own, n = text[start:end], end - start
+    before = text[max(0, start - around - n):start].replace(own, " " * n)[-around:]
+    after = text[end:end + around + n].replace(own, " " * n)[:around]
+    return (size(before + after + own) - size(before + after)) / n
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -75,20 +79,88 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in runs.finditer(text)]
 
 
+HEADING = re.compile(r"^[ \t]*(?:(#{1,6})[ \t][^\n]*|\[[^\]\n]+\]|[^\n]{1,80}:)[ \t\r]*$", re.M)
+
+
+class Context:
+    """Whether a place of a text is sensitive: a sensitive word within ``near`` characters
+    or in the same line, on either side, or in a heading above it, of its section (``#``,
+    ``[name]`` or a line that ends in a colon) or of its table's column line."""
+
+    def __init__(self, text: str, near: int):
+        self.text, self.near, self.word = text, near, _tools()[4]
+        found = [m.span() for m in self.word.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
+        self.headings: list[tuple[int, bool]] | None = None
+
+    def within(self, lo: int, hi: int) -> bool:
+        i = bisect_left(self.starts, lo)
+        return i < len(self.ends) and self.ends[i] <= hi
+
+    def sensitive(self, s: int, e: int) -> bool:
+        if not self.starts:
+            return False
+        line, stop = self.text.rfind("\n", 0, s) + 1, self.text.find("\n", e)
+        stop = len(self.text) if stop < 0 else stop
+        return self.within(min(line, max(0, s - self.near)), s) or self.within(e, max(stop, e + self.near)) \
+            or self.under_heading(line) or self.in_table(line, stop)
+
+    def under_heading(self, line: int) -> bool:
+        if self.headings is None:
+            above, self.headings = [], []
+            for m in HEADING.finditer(self.text):
+                level = len(m[1]) if m[1] else 7
+                while above and above[-1][0] >= level:
+                    above.pop()
+                above.append((level, self.within(*m.span())))
+                self.headings.append((m.start(), any(x for _, x in above)))
+        i = bisect_left(self.headings, (line,)) - 1
+        return i >= 0 and self.headings[i][1]
+
+    def in_table(self, line: int, stop: int) -> bool:
+        top = self.text.rfind("\n\n", 0, line)
+        top = 0 if top < 0 else top + 2
+        end = self.text.find("\n", top)
+        if top >= line or not self.within(top, end):
+            return False
+        return any(0 < self.text.count(c, line, stop) == self.text.count(c, top, end) for c in "|\t,;")
+
+
+def keylike(run: str) -> bool:
+    """Letters and digits, in a run under 20 characters with at least two changes between
+    them or both cases; without a digit, 20 and more letters that change to upper case at
+    every sixth place or more often, as no compound name does."""
+    kinds = re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", re.sub("[0-9]+", "0", run)))
+    if len(run) < 8 or not re.search("[A-Za-z]", run):
+        return False
+    if "0" not in kinds:
+        return len(run) >= 20 and 6 * kinds.count("aA") >= len(run)
+    return len(run) >= 20 or ("a" in kinds and "A" in kinds) or len(re.findall("(?=[Aa]0|0[Aa])", kinds)) >= 2
+
+
 def spans(text: str | None, least: float = 0.8, context: int = 48) -> list[dict]:
     """Spans of one text, by start and then by kind; null and empty texts have none."""
     if not text:
         return []
-    base, sensitive, words = base_spans(text), _tools()[4], _tools()[5]
+    base, words = base_spans(text), _tools()[5]
     found = [(k, s, e, novelty(text, s, e)) for k, s, e in base]
-    for m in words.finditer(text):
+    place = Context(text, context)
+
+    def add(s: int, e: int) -> bool:
+        if not keylike(text[s:e]) or not place.sensitive(s, e) or any(a < e and s < b for _, a, b in base):
+            return False
+        n = novelty(text, s, e)
+        if n >= least:
+            found.append(("novel", s, e, n))
+        return n >= least
+
+    for m in words.finditer(text) if place.starts else ():
         s, e = m.span()
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and sensitive.search(text, max(0, s - context), s) \
-                and not any(a < e and s < b for _, a, b in base):
-            n = novelty(text, s, e)
-            if n >= least:
-                found.append(("novel", s, e, n))
+        if e - s >= 8 and not add(s, e) and "." in m[0]:
+            # a dotted name may hold a key in one of its parts
+            for part in m[0].split("."):
+                add(s, s + len(part))
+                s += len(part) + 1
     found.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return [{"kind": k, "start": s, "end": e, "novelty": n} for k, s, e, n in found]
 
@@ -97,9 +169,9 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", leas
     """``docs`` with ``out``: all secret spans (kind, start, end in code points, novelty).
 
     Kinds ``assign``, ``access`` and ``hex`` are the fixed patterns, whatever their
-    novelty; ``novel`` are runs of 20 and more characters that hold letters and digits,
-    follow a sensitive word within 48 characters and cost at least ``least`` bytes a
-    byte.  A null or empty text has an empty list.  Nothing is shuffled.
+    novelty; ``novel`` are runs of 8 and more characters, dotted ones as one, that look like
+    keys (``keylike``), stand by a sensitive word or under a heading with one (``Context``)
+    and cost at least ``least`` bytes a byte.  A null or empty text has an empty list.  Nothing is shuffled.
     """
 
     @F.pandas_udf(SCHEMA)

@@ -214,6 +214,21 @@ def test_licences(spark, make_docs):
     assert rows[52].licences[0].licence == "Apache-2.0" and rows[1].licences == []
 
 
+def test_repeated_short_and_dotted_secrets_in_any_context():
+    key = "kX93bQz7LmP02vRtY8wA"
+    found = lambda t: [t[s["start"]:s["end"]] for s in secrets.spans(t) if s["kind"] == "novel"]
+    assert found(f"export AUTH_KEY {key}\nuse auth key {key}\n") == [key, key]
+    assert found(f"AUTH_KEY={key}\nsign {key} key") == [key, key]
+    assert found(f"value {key} is the signature") == [key] and found("the pwd is q7Xz92Lm") == ["q7Xz92Lm"]
+    jwt = "eyJhbGciOiJ9.eyJzdWIiOiIxM9.Qz7Lm2Pt5Rv8YcW"
+    assert found(f"bearer {jwt}.") == [jwt]
+    assert found("key qWkZpLmXvBnTyRsDfGhJ here") == ["qWkZpLmXvBnTyRsDfGhJ"]
+    assert found(f"# Credentials\n\n{'nothing to see in this line. ' * 3}\n\n{key}\n") == [key]
+    assert found(f"user,secret word\n{'alice' * 20},none\nbob,{key}\n") == [key]
+    assert found(f"# Credentials\n\n# Other\n\n{'nothing to see in this line. ' * 3}\n\n{key}\n") == []
+    assert found("the password of version2 and getElementByIdentifier1Handler") == [] and found(f"nothing {key}") == []
+
+
 WRAPPED = {
     "MIT": """MIT License
 
