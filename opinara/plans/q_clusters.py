@@ -148,9 +148,11 @@ def _(t):
 
 
 def sentence_table(t):
+    """Every sentence of every text, named by its text and its place there."""
     rows = t.vectors.select("id", "vec", F.concat(F.lit("p"), "product").alias("product")).join(
-        t.sentences.where("spos = 0").select("id", "sentence", "rating", "category"), "id")
-    return rows.select("id", F.lit("all").alias("category"), "product", "rating", "sentence", "vec", F.lit(1).alias("prediction"))
+        t.sentences.select("id", "spos", "sentence", "rating", "category"), "id")
+    key = F.shiftleft("id", 24) + F.col("spos")
+    return rows.select(key.alias("id"), F.lit("all").alias("category"), "product", "rating", "sentence", "vec", F.lit(1).alias("prediction"))
 
 
 @query("r13_review_clusters")

@@ -171,3 +171,15 @@ def test_map_error_falls(spark):
     v = np.random.default_rng(9).random((60, 4))
     _, errors = pt.train_map(frame(spark, v), "id", "vec", 6, 6, epochs=4)
     assert errors[-1] < errors[0]
+
+
+def test_review_clusters_read_every_sentence(spark):
+    from types import SimpleNamespace
+
+    from opinara.plans.q_clusters import sentence_table
+
+    vectors = spark.createDataFrame([(i, 7, [1.0, 0.0]) for i in (0, 1, 5_000_000_000)], "id long, product int, vec array<double>")
+    said = [(i, p, f"s{i}-{p}", 5, "en") for i in (0, 1, 5_000_000_000) for p in range(3)]
+    t = SimpleNamespace(vectors=vectors, sentences=spark.createDataFrame(said, "id long, spos int, sentence string, rating int, category string"))
+    got = sentence_table(t).collect()
+    assert sorted(r.sentence for r in got) == sorted(s for _, _, s, _, _ in said) and len({r.id for r in got}) == 9
