@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from opinara.functions import text as tx
+from opinara.operators import phrases as ph
 from opinara.operators import textflow as tf
 from opinara.operators.tables import first_per
+from opinara.session import cut
 
 PRODUCT = ["category", "product"]
 ASPECT = ["category", "product", "aspect"]
@@ -29,31 +31,28 @@ def in_categories(reviews: DataFrame, categories: str | list[str] | None) -> Dat
     return reviews.where(F.col("category").isin([categories] if isinstance(categories, str) else list(categories)))
 
 
-def _hits(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """One row per sentence and lexicon term in it, with how often it occurs.  Only
-    keys travel with the words; the sentence text is looked up for the few hits."""
-    words = sentences.select("id", "category", "product", "rating", "spos",
-                             F.explode(tx.term_list(F.col("sentence"))).alias("term"))
-    return words.join(lexicon, "term").groupBy(
-        "id", "category", "product", "rating", "spos", "grp", "aspect", "term").agg(F.count("*").alias("hits"))
-
-
-def mentions(sentences: DataFrame, lexicon: DataFrame, tokens: DataFrame, skip: Column | None = None) -> DataFrame:
+def mentions(sentences: DataFrame, lexicon: DataFrame, tokens: DataFrame, skip: Column | None = None, lemmas: DataFrame | None = None) -> DataFrame:
     """One row per review and term: the example sentence with the most hits, the
     sentiment of the rating, and the characteristics found around the term in its
-    first sentence (adjectives and verbs above or below it in the tree)."""
-    hits = _hits(sentences, lexicon)
-    per = hits.groupBy("id", "category", "product", "rating", "grp", "aspect", "term").agg(
+    first sentence (adjectives and verbs above or below its last word in the tree).
+
+    Terms may have several words and are matched by lemma, so inflected forms count;
+    ``lemmas`` (word, lemma) is a dictionary for the words of the terms, otherwise the
+    corpus itself tells their lemmas.  Only keys travel with the words; the sentence text
+    is looked up for the few hits."""
+    places = ph.occurrences(tokens, ph.lemma_terms(lexicon.select("term").distinct(), tokens, lemmas), ["id", "spos"])
+    places = cut(places)  # a row for every hit, used three times
+    hits = places.groupBy("id", "spos", "term").agg(F.count("*").alias("hits"))
+    per = hits.groupBy("id", "term").agg(
         F.max_by("spos", F.struct("hits", -F.col("spos"))).alias("spos"), F.min("spos").alias("first_spos"))
-    per = per.join(sentences.select("id", "spos", F.col("sentence").alias("example")), ["id", "spos"]).drop("spos")
+    per = per.join(sentences.select("id", "spos", "category", "product", "rating", F.col("sentence").alias("example")), ["id", "spos"]).drop("spos")
     firsts = per.select("id", F.col("first_spos").alias("spos"), "term")
-    targets = tokens.select("id", "spos", F.col("pos").alias("target"), F.col("lemma").alias("term")).join(
-        firsts, ["id", "spos", "term"])
+    targets = places.select("id", "spos", "term", F.col("last").alias("target")).join(firsts, ["id", "spos", "term"])
     skip = F.array().cast("array<string>") if skip is None else skip
     related = tf.related_words(tokens, targets, ["id", "spos"], skip)
     chars = related.join(targets, ["id", "spos", "target"]).groupBy("id", "term").agg(
         F.sort_array(F.collect_set("word")).alias("characteristics"))
-    return per.join(chars, ["id", "term"], "left").select(
+    return per.join(lexicon.select("grp", "aspect", "term"), "term").join(chars, ["id", "term"], "left").select(
         "id", "category", "product", "grp", "aspect", "term", "example",
         tx.rating_class(F.col("rating")).alias("sentiment"),
         F.coalesce("characteristics", F.array().cast("array<string>")).alias("characteristics"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from opinara.functions import text as tx
 from opinara.functions import vectors as vx
 from opinara.operators import aspects as asp
+from opinara.operators import phrases as ph
 from opinara.operators import textflow as tf
 from opinara.session import cut, spread
 
@@ -22,6 +23,7 @@ from opinara.session import cut, spread
 # Either list is bounded by that number times the mean of distinct words in a review.
 LEXICON_SHARE = 20
 STOP_SHARE = 3
+PHRASE_SHARE = 100
 
 
 class Tables:
@@ -97,6 +99,27 @@ class Tables:
             F.col("word").alias("term"),
         )
 
+    @cached_property
+    def phrases(self) -> DataFrame:
+        """phrase, form: two or three lemmas in a row that begin with a lexicon word and stand in
+        one review of a hundred, with one of the forms in which the corpus writes them."""
+        starts = ph.checked_small(cut(self.lexicon.select(F.col("term").alias("start"))))
+        rows = self.sentences.select("id", F.filter(
+            F.transform(tx.word_list(F.col("sentence")), lambda w: F.struct(F.lower(w).alias("text"), F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")).alias("lemma"))),
+            lambda w: w["lemma"] != "").alias("w"))
+        grams = F.transform("w", lambda x, i: F.struct(x["lemma"].alias("start"), F.slice("w", i + 1, F.lit(2)).alias("two"), F.slice("w", i + 1, F.lit(3)).alias("three")))
+        rows = rows.select("id", F.explode(grams).alias("x")).select("id", "x.*").join(starts, "start")
+        each = rows.select("id", F.explode(F.array("two", "three")).alias("g")).where(F.size("g") > 1).distinct()
+        each = each.select("id", F.array_join("g.lemma", " ").alias("phrase"), F.array_join("g.text", " ").alias("form"))
+        per = each.groupBy("phrase", "id").agg(F.min("form").alias("form")).groupBy("phrase").agg(F.count("*").alias("df"), F.min("form").alias("form"))
+        return per.where(F.col("df") * PHRASE_SHARE >= self.n_reviews)
+
+    @cached_property
+    def phrase_lexicon(self) -> DataFrame:
+        """grp, aspect, term: the lexicon and the phrases, written as the corpus writes them."""
+        more = self.phrases.select(F.concat(F.lit("g"), F.length("phrase") % 4).alias("grp"), F.concat(F.lit("a"), F.length("phrase") % 10).alias("aspect"), F.col("form").alias("term"))
+        return cut(self.lexicon.unionByName(more))
+
     @cached_property
     def vectors(self) -> DataFrame:
         """id, product, vec: sentence vectors with their product."""
@@ -115,7 +138,7 @@ class Tables:
     @cached_property
     def mentions(self) -> DataFrame:
         """Written once: the roll-up, the phrases and the traits all start from it."""
-        return cut(asp.mentions(self.sentences, self.lexicon, self.tokens))
+        return cut(asp.mentions(self.sentences, self.phrase_lexicon, self.tokens))
 
     @cached_property
     def aspects(self) -> DataFrame:
@@ -154,11 +177,19 @@ CTES: dict[str, str] = {
     "uptree": """SELECT id, spos, pos, head AS anc FROM tokens WHERE head <> pos UNION ALL
         SELECT u.id, u.spos, u.pos, t.head FROM uptree u JOIN tokens t ON t.id = u.id AND t.spos = u.spos AND t.pos = u.anc
         WHERE t.head <> t.pos""",
+    "lemma_row": """SELECT id, spos, list(lemma ORDER BY pos) AS lw, list(lower(text) ORDER BY pos) AS tw, list(pos ORDER BY pos) AS pw
+        FROM tokens WHERE lemma <> '' GROUP BY id, spos""",
+    "phrases_of": """SELECT id, array_to_string(lw[i:i + n - 1], ' ') AS phrase, array_to_string(tw[i:i + n - 1], ' ') AS form FROM (
+        SELECT id, lw, tw, n, unnest(range(1, len(lw) - n + 2)) AS i FROM lemma_row, (SELECT unnest([2, 3]) AS n)) WHERE lw[i] IN (SELECT term FROM lexicon)""",
+    "phrase_lexicon": f"""SELECT grp, aspect, term, [term] AS lemmas FROM lexicon UNION ALL SELECT 'g' || (length(phrase) % 4), 'a' || (length(phrase) % 10), min(form), string_split(phrase, ' ')
+        FROM phrases_of GROUP BY phrase HAVING count(DISTINCT id) * {PHRASE_SHARE} >= (SELECT count(*) FROM documents)""",
+    "occurrence": """SELECT r.id, r.spos, l.grp, l.aspect, l.term, r.pw[i + len(l.lemmas) - 1] AS target FROM (SELECT *, unnest(range(1, len(lw) + 1)) AS i FROM lemma_row) r
+        JOIN phrase_lexicon l ON l.lemmas[1] = r.lw[r.i] AND r.lw[r.i:r.i + len(l.lemmas) - 1] = l.lemmas""",
     "spoken": """SELECT h.id, s.category, s.product, s.rating, grp, aspect, term, max_by(s.sentence, (hits, -h.spos)) AS example, min(h.spos) AS spos
-        FROM (SELECT w.id, w.spos, l.grp, l.aspect, l.term, count(*) AS hits FROM words w JOIN lexicon l ON l.term = w.word GROUP BY ALL) h
+        FROM (SELECT id, spos, grp, aspect, term, count(*) AS hits FROM occurrence GROUP BY ALL) h
         JOIN sentences s ON s.id = h.id AND s.spos = h.spos GROUP BY ALL""",
     "traits": """SELECT DISTINCT x.id, x.term, t.lemma AS word FROM (
-            SELECT p.id, p.spos, p.term, t.pos AS target FROM spoken p JOIN tokens t ON t.id = p.id AND t.spos = p.spos AND t.lemma = p.term) x
+            SELECT DISTINCT p.id, p.spos, p.term, o.target FROM spoken p JOIN occurrence o ON o.id = p.id AND o.spos = p.spos AND o.term = p.term) x
         JOIN (SELECT id, spos, anc AS target, pos AS other FROM uptree UNION ALL SELECT id, spos, pos, anc FROM uptree) l
             ON l.id = x.id AND l.spos = x.spos AND l.target = x.target
         JOIN tokens t ON t.id = l.id AND t.spos = l.spos AND t.pos = l.other WHERE t.tag IN ('ADJ', 'VERB')""",

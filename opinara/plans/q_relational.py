@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from opinara.functions import text as tx
 from opinara.operators import aspects as asp
+from opinara.operators import phrases as ph
 from opinara.operators import tables as tb
 from opinara.plans.registry import query
 
@@ -189,6 +190,12 @@ def _(t):
         F.contains(F.lower("sentence"), "term")).select("id", "term", "spos")
 
 
+@query("j11_sentence_phrases", "SELECT id, spos, term, count(*) AS n FROM occurrence GROUP BY ALL")
+def _(t):
+    terms = ph.lemma_terms(t.phrase_lexicon.select("term"), t.tokens)
+    return ph.occurrences(t.tokens, terms, ["id", "spos"]).groupBy("id", "spos", "term").agg(F.count("*").alias("n"))
+
+
 # --- aggregates ------------------------------------------------------------------------------
 
 
