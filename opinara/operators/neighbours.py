@@ -58,14 +58,16 @@ def in_blocks(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return cut(df.join(parts, ["g", "stripe"]).withColumn("block", F.col("stripe") * 1_000_000 + sub).drop("stripe", "parts"))
 
 
-def block_pairs(blocked: DataFrame, radius: float | None, fn: Callable, schema: str) -> DataFrame:
-    """Run ``fn(left, right)`` on every pair of blocks closer than ``radius``.
+def block_pairs(blocked: DataFrame, radius: float | None, fn: Callable, schema: str, wanted: str | None = None) -> DataFrame:
+    """Run ``fn(left, right)`` on every pair of blocks closer than ``radius``; with
+    ``wanted``, a boolean column, only on pairs of which a block holds such a row.
 
     ``right`` is ``None`` for a block with itself; both are pandas frames."""
-    span = blocked.groupBy("g", "block").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    a = span.select("g", F.col("block").alias("bi"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    b = span.select("g", F.col("block").alias("bj"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = a.join(b, "g").where("bi <= bj")
+    asks = F.lit(True) if wanted is None else F.max(wanted)
+    span = blocked.groupBy("g", "block").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), asks.alias("asks"))
+    a = span.select("g", F.col("block").alias("bi"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("asks").alias("asks1"))
+    b = span.select("g", F.col("block").alias("bj"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("asks").alias("asks2"))
+    pairs = a.join(b, "g").where("bi <= bj AND (asks1 OR asks2)")
     if radius is not None:
         r = F.lit(radius + TOLERANCE)
         pairs = pairs.where((F.col("lo2") - F.col("hi1") <= r) & (F.col("lo1") - F.col("hi2") <= r))

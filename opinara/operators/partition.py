@@ -1,4 +1,4 @@
-"""Centre-based clustering of many groups at once: k-means, top-down Ward, SOM."""
+"""Centre-based clustering of many groups at once: k-means and self-organising maps."""
 
 from __future__ import annotations
 
@@ -63,60 +63,6 @@ def _lloyd(points: DataFrame, k: int) -> DataFrame:
             return _with_nearest(points, centres).select("g", "id", F.col("c").alias("cluster"), "d2")
 
 
-def _split_costs(points: DataFrame) -> DataFrame:
-    """Points of each node in two halves (c 0/1) with the Ward cost of the split, 0 for a
-    node of equal rows."""
-    halves = _lloyd(points, 2).select("g", "id", F.col("cluster").alias("c"))
-    rows = cut(points.join(halves, ["g", "id"]))
-    sides = rows.groupBy("g", "c").agg(F.count("*").alias("n"), vx.mean_vector(F.col("v")).alias("m"))
-    a = sides.where("c = 0").select("g", F.col("n").alias("n1"), F.col("m").alias("m1"))
-    b = sides.where("c = 1").select("g", F.col("n").alias("n2"), F.col("m").alias("m2"))
-    weight = F.sqrt(2 * F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
-    cost = a.join(b, "g").select("g", (weight * vx.euclidean(F.col("m1"), F.col("m2"))).alias("cost"))
-    return rows.join(cost, "g", "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
-
-
-def ward_splits(df: DataFrame, group: str, key: str, vec: str, max_distance: float, unit: bool = True) -> DataFrame:
-    """g, id, cluster: top-down two-way splits, kept while their Ward cost exceeds
-    ``max_distance`` (0 or more); every level splits the open nodes of all groups in one
-    job, until none is left open."""
-    v = vx.normalise(F.col(vec)) if unit else vx.as_double(F.col(vec))
-    rows = df.where(F.col(vec).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.col(key).cast("long").alias("id"), v.alias("v"))
-    open_ = cut(rows.withColumn("g", F.concat("grp", F.lit("\u0001"))))
-    done = None
-    while True:  # both halves of a kept split are smaller than their node, so this ends
-        split = cut(_split_costs(open_.select("g", "id", "v")))
-        kept = split.where(F.col("cost") > max_distance)
-        still = split.where(F.col("cost") <= max_distance).select("g", "id")
-        done = still if done is None else done.unionByName(still)
-        open_ = kept.select(F.concat("g", F.col("c").cast("string")).alias("g"), "id", "v")
-        if kept.isEmpty():
-            break
-    path = F.split("g", "\u0001")
-    return done.select(F.get(path, F.lit(0)).alias("g"), "id", F.get(path, F.lit(1)).alias("cluster"))
-
-
-def ward_leaves(df: DataFrame, key: str, vec: str, leaves: int) -> DataFrame:
-    """id, cluster: the leaf with the largest Ward cost is split until ``leaves``
-    are reached; a leaf's own split is worked out once."""
-    rows = df.select(F.lit("r").alias("g"), F.col(key).cast("long").alias("id"), vx.as_double(F.col(vec)).alias("v"))
-    split = {"r": cut(_split_costs(rows))}
-    cost = {"r": split["r"].agg(F.max("cost")).first()[0] or 0.0}
-    while len(split) < leaves and max(cost.values()) > 0:
-        top = max(sorted(cost), key=cost.get)
-        halves = split.pop(top)
-        del cost[top]
-        fresh = cut(_split_costs(halves.select(F.concat("g", F.col("c").cast("string")).alias("g"), "id", "v")))
-        for side in ("0", "1"):
-            split[top + side] = fresh.where(F.col("g") == top + side)
-            cost[top + side] = split[top + side].agg(F.max("cost")).first()[0] or 0.0
-    out = None
-    for part in split.values():
-        part = part.select("id", F.col("g").alias("cluster"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 # --- self-organising map ---------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import text as tx
 from opinara.operators import density as dn
+from opinara.operators import hierarchy as hy
 from opinara.operators import masks as mk
 from opinara.operators import partition as pt
 from opinara.operators import reviews as rv
@@ -103,7 +104,7 @@ def _(t):
 
 @query("c12_ward_per_product")
 def _(t):
-    return pt.ward_splits(t.vectors, "product", "id", "vec", max_distance=3.2)
+    return hy.ward_by_distance(t.vectors, "product", "id", "vec", max_distance=3.2, unit=True)
 
 
 @query("c13_kmeans_per_product")
@@ -114,7 +115,16 @@ def _(t):
 
 @query("c19_ward_rows")
 def _(t):
-    return pt.ward_leaves(part_points(t), "id", "vec", leaves=4)
+    return hy.ward_by_count(part_points(t), "g", "id", "vec", clusters=4)
+
+
+@query("c19_ward_distance")
+def _(t):
+    import opinara.operators.tables as tb
+
+    scaled = tb.standard_scaled(t.part.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])
+    rows = scaled.select(F.lit("all").alias("g"), F.col("p_partkey").alias("id"), F.array("p_size", "p_retailprice").alias("vec"))
+    return hy.ward_by_distance(rows, "g", "id", "vec", max_distance=25.0)
 
 
 @query("c21_self_organising_map")

@@ -1,6 +1,6 @@
 """Session set-up and lineage cutting.
 
-Iterative jobs cut their plan with a reliable checkpoint.  The folder is the one
+Iterative jobs cut their plan with a written table.  The folder is the one
 the cluster names in ``spark.checkpoint.dir``; only a local session without that
 setting gets a temporary folder of its own.
 """
@@ -8,6 +8,7 @@ setting gets a temporary folder of its own.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,9 +46,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table in the checkpoint folder and go on from the written rows.
+
+    A table has the size of its files.  A checkpoint keeps the size estimated for its plan;
+    in a loop of joins that estimate is multiplied with itself in every round, until
+    planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinara.operators import density as dn
+from opinara.operators import hierarchy as hy
 from opinara.operators import masks as mk
 from opinara.operators import neighbours as nb
 from opinara.operators import partition as pt
@@ -133,9 +134,9 @@ def test_kmeans_equals_brute_force(spark):
     assert len({r.cluster for r in pt.kmeans_groups(frame(spark, repeated), "g", "id", "vec", 4).collect()}) == 4
 
 
-def test_ward_splits_rare_rows_off_many_copies(spark):
+def test_ward_parts_rare_rows_off_many_copies(spark):
     v = np.concatenate([np.repeat([[1.0, 0.0, 0.0]], 200, axis=0), [[0.0, 1.0, 0.0]] * 2])
-    assert len({r.cluster for r in pt.ward_splits(frame(spark, v), "g", "id", "vec", 0.5).collect()}) == 2
+    assert len({r.cluster for r in hy.ward_by_distance(frame(spark, v), "g", "id", "vec", 0.5, unit=True).collect()}) == 2
     nulls = frame(spark, v).unionByName(spark.createDataFrame([("g", 999, None)], "g string, id long, vec array<double>"))
     assert pt.kmeans_groups(nulls, "g", "id", "vec", 2).count() == len(v)
 
@@ -159,10 +160,10 @@ def test_masks_may_be_missing_and_vectors_null(spark):
     assert {r.id for r in yes.collect()} == {0} and {r.id for r in no.collect()} == {1, 2, 9}
 
 
-def test_ward_splits_separate_groups(spark):
+def test_ward_parts_separate_groups(spark):
     rng = np.random.default_rng(8)
     v = np.concatenate([rng.normal(0, 0.02, (10, 3)) + c for c in np.eye(3)])
-    got = {r.id: r.cluster for r in pt.ward_splits(frame(spark, v), "g", "id", "vec", 1.0).collect()}
+    got = {r.id: r.cluster for r in hy.ward_by_distance(frame(spark, v), "g", "id", "vec", 1.0, unit=True).collect()}
     assert len(set(got.values())) == 3
     assert all(len({got[i] for i in range(a, a + 10)}) == 1 for a in (0, 10, 20))
 
