@@ -2,8 +2,8 @@
 
 A term is a sequence of lemmas.  Looking every word of the corpus up under every word of
 every term would meet frequent words over and over, so each term is filed under one of
-its words only, the longest; where that word stands the whole term is compared.  Only
-sentences in which such a word belongs to a term of several words are put together.
+its words only, the longest; where that word stands the whole term is compared.  Of a
+sentence only words that some term of several words has are put together.
 """
 
 from __future__ import annotations
@@ -58,20 +58,26 @@ def occurrences(tokens: DataFrame, terms: DataFrame, keys: list[str]) -> DataFra
     """keys, term, first, last: every place where the lemmas of a term follow one another
     in a sentence; ``first`` and ``last`` are the positions of its outer words.
 
-    ``tokens`` has the keys of a sentence, ``pos`` and ``lemma``; ``terms`` has ``term``
-    and ``lemmas`` (see :func:`lemma_terms`).  Tokens with an empty or null lemma, as of
-    punctuation, do not part two words.  Occurrences may overlap, also of one term.
+    ``tokens`` has the keys of a sentence, ``pos`` (0, 1, ...) and ``lemma``; ``terms`` has
+    ``term`` and ``lemmas`` (see :func:`lemma_terms`).  Tokens with an empty or null lemma,
+    as of punctuation, do not part two words.  Occurrences may overlap, also of one term.
     """
     filed = _filed(terms)
-    words = tokens.select(*keys, "pos", "lemma").where("lemma <> ''")
-    met = words.join(checked_small(filed), "lemma")
-    single = met.where(F.size("lemmas") == 1).select(*keys, "term", F.col("pos").alias("first"), F.col("pos").alias("last"))
-    longer = checked_small(cut(filed.where(F.size("lemmas") > 1)))
-    several = words.join(longer, "lemma").groupBy(*keys).agg(F.collect_list(F.struct("pos", "at", "term", "lemmas")).alias("met"))
-    whole = words.join(several.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "lemma"))).alias("w"))
-    begin = F.array_position("places", F.col("m.pos")).cast("int") - 1 - F.col("m.at")  # from 0
-    rows = whole.join(several, keys).select(
-        *keys, F.col("w.pos").alias("places"), F.col("w.lemma").alias("w"), F.explode("met").alias("m")).withColumn("begin", begin).where("begin >= 0")
-    size = F.size("m.lemmas")
-    same = rows.where(F.slice("w", F.col("begin") + 1, size) == F.col("m.lemmas"))
-    return single.unionByName(same.select(*keys, "m.term", F.get("places", F.col("begin")).alias("first"), F.get("places", F.col("begin") + size - 1).alias("last")))
+    words = tokens.select(*keys, "pos", F.coalesce("lemma", F.lit("")).alias("lemma"))
+    single = words.join(checked_small(filed.where(F.size("lemmas") == 1)), "lemma").select(
+        *keys, "term", F.col("pos").alias("first"), F.col("pos").alias("last"))
+    longer = filed.where(F.size("lemmas") > 1)
+    # of a sentence only words that some longer term has travel, and those without a lemma, which tell what is next to what
+    known = cut(longer.select(F.explode("lemmas").alias("lemma")).union(longer.select(F.lit(""))).distinct())
+    kept = words.join(checked_small(known), "lemma", "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "lemma"))).alias("w"))
+    full = F.filter("w", lambda x: x["lemma"] != "")
+    empty = F.transform(F.filter("w", lambda x: x["lemma"] == ""), lambda x: x["pos"])
+    kept = kept.where(F.size(full) > 1).select(*keys, full.alias("w"), empty.alias("gaps"))
+    place = lambda x: x["pos"] - F.size(F.filter("gaps", lambda g: g < x["pos"]))
+    kept = kept.withColumn("w", F.transform("w", lambda x: F.struct(x["pos"].alias("pos"), x["lemma"].alias("lemma"), place(x).alias("k"))))
+    rows = kept.select(*keys, "w", F.posexplode("w.lemma").alias("i", "lemma")).join(checked_small(longer), "lemma")
+    begin, size = F.col("i") - F.col("at"), F.size("lemmas")
+    rows = rows.withColumn("begin", begin).where("begin >= 0").withColumn("part", F.slice("w", F.col("begin") + 1, size))
+    end = F.get("part", size - 1)
+    same = rows.where((F.col("part.lemma") == F.col("lemmas")) & (end["k"] - F.get("part", F.lit(0))["k"] == size - 1))
+    return single.unionByName(same.select(*keys, "term", F.get("part", F.lit(0))["pos"].alias("first"), end["pos"].alias("last")))
