@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from opinara.llm.shared import written
 
 BATCH_CHARS = 4 << 20
-LONG_WORD = 200  # characters; longer ones are not remembered
 SALTS = 64
 #: A word begins at a blank behind a character that is no white space, and holds the
 #: white space that ends the text.
@@ -59,6 +58,9 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces) if not self.b.is_control(i)}
+        self.size_a, self.size_b = (np.array([len(t.get(i, b"")) for i in range(max(t) + 1)], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.vocabulary = max(len(self.size_a), len(self.size_b))
+        self.written = [f"{i}{mark}".encode() for mark in ",|;" for i in range(self.vocabulary)]
         #: No piece holds a blank behind other characters, so none crosses a word's beginning.
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
 
@@ -71,37 +73,55 @@ class Pair:
             found[-2:] = [found[-2] + " "]
         return found
 
-    def align(self, words: list[str]) -> list[Word]:
+    def align(self, words: list[str]) -> Aligned:
         """The tokens, groups and links of words that begin with a blank."""
-        ids_a = [e.ids for e in self.a.encode_batch(words, add_special_tokens=False)]
+        encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
+        ids_a = [e.ids for e in encode(words, add_special_tokens=False)]
         ids_b = self.b.encode([w[1:] for w in words], num_threads=1)
-        return [self.word(w, a, b) for w, a, b in zip(words, ids_a, ids_b)]
-
-    def word(self, word: str, a: list[int], b: list[int]) -> Word:
-        parts_a, parts_b, raw = [self.bytes_a.get(i) for i in a], [self.bytes_b.get(i) for i in b], word.encode("utf-8", "replace")
-        if None in parts_a or None in parts_b or b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return Word(False, 0, 0, b"", [])
-        groups, links, i, j, at = [], [], 0, 0, 0
-        from_a = from_b = end_a = end_b = 0
-        while at < len(raw):  # tokens hold a byte and more, so an end has one token a side
-            if end_a <= end_b:
-                end_a, i = end_a + len(parts_a[i]), i + 1
-            else:
-                end_b, j = end_b + len(parts_b[j]), j + 1
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                links.append((a[i - 1], b[j - 1]))
-                from_a, from_b, at = i, j, end_a
-        return Word(True, len(a), len(b), ";".join(groups).encode(), links)
+        raw = [w.encode("utf-8", "replace") for w in words]
+        parts = [(a, b, r) for a, b, r in zip(ids_a, ids_b, raw)]
+        ok = np.array([self.given_back(*p) for p in parts], bool)
+        return self.linked([p if k else ([], [], b"") for p, k in zip(parts, ok)], ok)
+
+    def given_back(self, a: list[int], b: list[int], raw: bytes) -> bool:
+        try:
+            return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+        except KeyError:  # a special token
+            return False
+
+    def linked(self, parts: list[tuple[list[int], list[int], bytes]], ok: np.ndarray) -> Aligned:
+        """All words at once: laid end to end, A and B give the same bytes, so their tokens
+        end together where running sums of token lengths meet."""
+        n_a, n_b = (np.fromiter((len(p[k]) for p in parts), np.int64, len(parts)) for k in (0, 1))
+        a, b = (np.fromiter((x for p in parts for x in p[k]), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        _, at_a, at_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)  # every token holds a byte
+        word_ends = np.cumsum([len(p[2]) for p in parts])
+        # a token is written with what follows it: a comma, a bar behind a group's last A id, a semicolon behind its last B id
+        group_a = np.searchsorted(at_a, np.arange(len(a)))
+        group_b = np.searchsorted(at_b, np.arange(len(b)))
+        code_a, code_b = a.copy(), b.copy()
+        code_a[at_a] += self.vocabulary
+        code_b[at_b] += 2 * self.vocabulary
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        written = list(map(self.written.__getitem__, np.concatenate([code_a, code_b])[order].tolist()))
+        per_word = np.cumsum(n_a + n_b).tolist()
+        groups = [b"".join(written[lo:hi]) for lo, hi in zip([0, *per_word[:-1]], per_word)]
+        n_links = np.diff(np.searchsorted(end_a[at_a], np.concatenate([[0], word_ends]), "right"))
+        return Aligned(ok, n_a, n_b, n_links, groups, a[at_a] << 32 | b[at_b])
 
 
 @dataclass(frozen=True)
-class Word:
-    ok: bool
-    n_a: int
-    n_b: int
-    groups: bytes
-    links: list[tuple[int, int]]
+class Aligned:
+    """Of each word: whether both tokenizers give it back, its tokens, links and groups (each
+    group ends in a semicolon); and all links, A id << 32 | B id, word by word."""
+
+    ok: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_links: np.ndarray
+    groups: list[bytes]
+    links: np.ndarray
 
 
 @lru_cache(maxsize=2)
@@ -119,28 +139,25 @@ def align_batch(pair: Pair, batch: int, shas: list[bytes], texts: list[str], cop
     split = [pair.words(t) for t in texts]
     number = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
     distinct = list(number)
-    made = [w for at in range(0, len(distinct), 4096) for w in pair.align(distinct[at:at + 4096])]
-    ok = np.fromiter((w.ok for w in made), bool, len(made))
-    size_a, size_b = (np.fromiter((getattr(w, c) for w in made), np.int64, len(made)) for c in ("n_a", "n_b"))
-    n_links = np.fromiter((len(w.links) for w in made), np.int64, len(made))
-    pairs: dict[tuple[int, int], int] = {}
-    flat = np.fromiter((pairs.setdefault(x, len(pairs)) for w in made for x in w.links), np.int64, int(n_links.sum()))
-    weight, groups, rows = np.zeros(len(made), np.int64), [w.groups for w in made], []
+    made = [pair.align(distinct[at:at + 8192]) for at in range(0, len(distinct), 8192)]
+    ok, size_a, size_b, n_links, links = (np.concatenate([getattr(m, c) for m in made]) for c in ("ok", "n_a", "n_b", "n_links", "links"))
+    groups = [g for m in made for g in m.groups]
+    weight, rows = np.zeros(len(distinct), np.int64), []
     for sha, words, n in zip(shas, split, copies):
         own = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         if not ok[own].all():
             rows.append((batch, sha, 0, 0, 0, 0, "", b""))
             continue
         np.add.at(weight, own, n)
-        links = int(n_links[own].sum())
-        digest = sha256(b";".join(map(groups.__getitem__, own.tolist()))).hexdigest()
-        rows.append((batch, sha, int(size_a[own].sum()), int(size_b[own].sum()), links, links, digest, own.astype("<u4").tobytes()))
-    total = np.zeros(len(pairs), np.int64)
-    np.add.at(total, flat, np.repeat(weight, n_links))
-    both = np.array(list(pairs), "<u4").reshape(-1, 2)
+        total = int(n_links[own].sum())
+        digest = sha256(b"".join(map(groups.__getitem__, own.tolist()))[:-1]).hexdigest()
+        rows.append((batch, sha, int(size_a[own].sum()), int(size_b[own].sum()), total, total, digest, own.astype("<u4").tobytes()))
+    pairs, flat = np.unique(links, return_inverse=True)
+    count = np.zeros(len(pairs), np.int64)
+    np.add.at(count, flat, np.repeat(weight, n_links))
     rows = [(*r, None, None, None, None, None) for r in rows]
-    rows.append((batch, None, 0, 0, 0, 0, "", None, both[:, 0].tobytes(), both[:, 1].tobytes(), total.astype("<i8").tobytes(),
-                 np.cumsum(n_links).astype("<u4").tobytes(), flat.astype("<u4").tobytes()))
+    rows.append((batch, None, 0, 0, 0, 0, "", None, (pairs >> 32).astype("<u4").tobytes(), (pairs & 0xFFFFFFFF).astype("<u4").tobytes(),
+                 count.astype("<i8").tobytes(), np.cumsum(n_links).astype("<u4").tobytes(), flat.astype("<u4").tobytes()))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in ALIGNED.split(", ")])
 
 

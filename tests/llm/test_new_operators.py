@@ -106,11 +106,11 @@ def test_words_tokenise_apart_as_they_do_together():
         words = pair.words(t)
         assert "".join(words) == " " + t
         made, want = pair.align(words), whole_alignment(pair, t)
-        assert all(w.ok for w in made) == (want is not None), repr(t)
+        assert made.ok.all() == (want is not None), repr(t)
         if want:
             a, b, groups, links = want
-            assert b";".join(w.groups for w in made).decode() == ";".join(groups), repr(t)
-            assert (sum(w.n_a for w in made), sum(w.n_b for w in made), [x for w in made for x in w.links]) == (len(a), len(b), links)
+            assert b"".join(made.groups).decode() == ";".join(groups) + ";", repr(t)
+            assert (made.n_a.sum(), made.n_b.sum(), [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in made.links], made.n_links.sum()) == (len(a), len(b), links, len(links))
 
 
 def brute_alignment(rows):
