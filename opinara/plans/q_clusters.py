@@ -182,7 +182,7 @@ def _(t):
 
 @query("r14_product_clusters_hdbscan")
 def _(t):
-    return rv.cluster_product_reviews(product_rows(t), "hdbscan", levels=8)
+    return rv.cluster_product_reviews(product_rows(t), "hdbscan")
 
 
 @query("r14_product_clusters_hierarchical")

@@ -71,13 +71,93 @@ def test_spanning_tree_weight(spark):
     assert total == pytest.approx(w[a, b].sum())
 
 
+def brute_hdbscan(v, min_size, k, unit=True):
+    """The condensed tree from the top: take the dearest edge of the spanning tree away, over and over."""
+    w = brute_reach(v, k)
+    np.fill_diagonal(w, np.inf)
+
+    def tree(points):
+        sub = w[np.ix_(points, points)].copy()
+        np.fill_diagonal(sub, 0)
+        a, b = dn._spanning_tree(sub)
+        return [(sub[i, j], min(points[i], points[j]), max(points[i], points[j])) for i, j in zip(a, b)]
+
+    def parts(points, edges):
+        label = {p: p for p in points}
+        for _, i, j in edges:
+            x, y = label[i], label[j]
+            for p in points:
+                if label[p] == y:
+                    label[p] = x
+        return [[p for p in points if label[p] == x] for x in set(label.values())]
+
+    def walk(points, birth):
+        """(stability of the chosen clusters, the clusters) below a cluster born at ``birth``."""
+        own, left, edges = 0.0, list(points), sorted(tree(points))
+        while True:
+            if len(left) == 1:  # only a single point of its own
+                return own, [], own, points
+            weight, _, _ = edges.pop()
+            lam = 1 / max(weight, 1e-12)
+            two = parts(left, edges)
+            big = [p for p in two if len(p) >= min_size]
+            own += sum(lam - birth for p in two if len(p) < min_size for _ in p)
+            if len(big) == 2:
+                own += len(left) * (lam - birth)
+                below = [walk(p, lam) for p in big]
+                best = sum(x[0] for x in below)
+                kept = [c for x in below for c in x[1]]
+                return (own, [points], own, points) if own >= best else (best, kept, own, points)
+            if not big:
+                return own, [points], own, points
+            left = big[0]
+            edges = [e for e in edges if e[1] in set(left)]
+
+    label = dict.fromkeys(range(len(v)), -1)
+    own, left, edges = 0.0, list(range(len(v))), sorted(tree(range(len(v))))
+    while edges:  # the root is never chosen: go down to its first split
+        weight, _, _ = edges.pop()
+        two = [p for p in parts(left, edges) if len(p) >= min_size]
+        if len(two) == 2:
+            for c in [c for p in two for c in walk(p, 1 / max(weight, 1e-12))[1]]:
+                for p in c:
+                    label[p] = min(c)
+            break
+        if not two:
+            break
+        left = two[0]
+        edges = [e for e in edges if e[1] in set(left)]
+    return label
+
+
+def grown(seed, spread=0.3):
+    rng = np.random.default_rng(seed)
+    v = np.concatenate([rng.normal(0, spread, (n, 3)) + c for n, c in ((25, (1, 0, 0)), (14, (0, 1, 0)), (9, (0, 0, 1)), (8, (1, 1, 0)))])
+    return np.concatenate([v, np.repeat(v[3:4], 5, axis=0), np.repeat(v[30:31], 4, axis=0)])
+
+
+@pytest.mark.parametrize("rows,run_edges", [(1024, 1_000_000), (16, 20)])
+def test_hdbscan_equals_brute_force(spark, rows, run_edges):
+    df, want = None, {}
+    for g, (seed, spread) in enumerate([(1, 0.05), (2, 0.3), (3, 0.5), (4, 0.2)]):
+        v = grown(seed, spread)
+        part = frame(spark, v, f"g{g}").withColumn("id", F.col("id") + 1000 * g)
+        df = part if df is None else df.unionByName(part)
+        want |= {i + 1000 * g: c if c < 0 else c + 1000 * g for i, c in brute_hdbscan(v, 4, 3).items()}
+    df = df.unionByName(frame(spark, np.eye(3)[:2], "few").withColumn("id", F.col("id") + 9000))
+    got = {r.id: r.label for r in dn.hdbscan(df, "g", "id", "vec", 4, 3, rows=rows, run_edges=run_edges).collect()}
+    assert got == want | {9000: -1, 9001: -1}
+    assert len(set(want.values())) > 8
+
+
 def test_hdbscan_finds_separate_groups(spark):
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.normal(0, 0.02, (12, 3)) + c for c in np.eye(3)])
-    rows = dn.hdbscan(frame(spark, v), "g", "id", "vec", 3, 3, levels=8).collect()
+    rows = dn.hdbscan(frame(spark, v), "g", "id", "vec", 3, 3).collect()
     label = {r.id: r.label for r in rows}
     found = [{label[i] for i in range(a, a + 12)} - {-1} for a in (0, 12, 24)]
-    assert all(len(f) == 1 for f in found) and len(set.union(*found)) == 3
+    assert all(found) and not any(x & y for x, y in itertools.combinations(found, 2))
+    assert dn.hdbscan(frame(spark, v).limit(0), "g", "id", "vec").count() == 0
 
 
 def test_components_of_a_chain(spark):
@@ -141,15 +221,6 @@ def test_ward_parts_rare_rows_off_many_copies(spark):
     assert pt.kmeans_groups(nulls, "g", "id", "vec", 2).count() == len(v)
 
 
-def test_hdbscan_of_one_group_ignores_the_others(spark):
-    rng = np.random.default_rng(12)
-    a = np.concatenate([rng.normal(0, 0.02, (10, 3)) + c for c in np.eye(3)])
-    own = {r.id: r.label for r in dn.hdbscan(frame(spark, a), "g", "id", "vec", 3, 3, levels=6).collect()}
-    far = frame(spark, rng.normal(size=(8, 3)) * 5, "other").withColumn("id", F.col("id") + 1000)
-    both = dn.hdbscan(frame(spark, a).unionByName(far), "g", "id", "vec", 3, 3, levels=6).where("g = 'g'").collect()
-    assert {r.id: r.label for r in both} == own and len(set(own.values()) - {-1}) == 3
-
-
 def test_masks_may_be_missing_and_vectors_null(spark):
     df = frame(spark, np.eye(3)).unionByName(spark.createDataFrame([("g", 9, None)], "g string, id long, vec array<double>"))
     none = df.limit(0).select(F.col("id").alias("mask_id"), F.lit("m").alias("mask"), "vec")
