@@ -33,13 +33,13 @@ def brute_dbscan(d, eps, min_pts):
     return dict(enumerate(label))
 
 
-@pytest.mark.parametrize("rows", [1000, 16])
-def test_dbscan_equals_brute_force(spark, rows):
+@pytest.mark.parametrize("rows,bound", [(1000, 1_000_000), (16, 1_000_000), (16, 10)])
+def test_dbscan_equals_brute_force(spark, rows, bound):
     rng = np.random.default_rng(3)
     v = np.concatenate([rng.normal(c, 0.15, (30, 2)) for c in ((0, 0), (1, 1), (2, 0))] + [np.repeat([[3.0, 3.0]], 8, axis=0)])
     d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
-    grid = dn.dbscan_grid(frame(spark, v), "g", "id", "vec", [0.1, 0.2], [3, 6], "euclidean", rows).collect()
-    for e, m in itertools.product([0.1, 0.2], [3, 6]):
+    grid = dn.dbscan_grid(frame(spark, v), "g", "id", "vec", [0.1, 0.2], [3, 6, 9], "euclidean", rows, bound).collect()
+    for e, m in itertools.product([0.1, 0.2], [3, 6, 9]):
         assert {r.id: r.label for r in grid if r.eps == e and r.min_pts == m} == brute_dbscan(d, e, m)
 
 
