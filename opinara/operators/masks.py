@@ -6,8 +6,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -230,14 +228,3 @@ def aspect_names(phrases: DataFrame, lexicon: DataFrame, term_vectors: DataFrame
     near = best_mask(direct, "vec", term_vectors)
     close = F.when(F.col("best.s") >= threshold, F.col("best.mask"))
     return near.select("phrase", F.coalesce("direct", close, "phrase").alias("aspect"))
-
-
-def nearest_rows(rows: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 10, tables: int = 4, width: float = 0.5):
-    """qid, id, sim: approximate angular neighbours.  Random projections of the unit
-    vectors give candidates, whose cosine is then computed exactly."""
-    unit = lambda df, c: df.withColumn("features", array_to_vector(vx.normalise(F.col(c))))
-    data = unit(rows.select(key, F.col(vec).alias("_v")), "_v")
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7).fit(data)
-    near = lsh.approxSimilarityJoin(unit(queries.select("qid", F.col("vec").alias("_v")), "_v"), data, 2.0, "d")
-    sim = near.select(F.col("datasetA.qid").alias("qid"), F.col(f"datasetB.{key}").alias(key), (1 - F.col("d") * F.col("d") / 2).alias("sim"))
-    return first_per(sim, ["qid"], [F.desc("sim"), F.asc(key)], k)
