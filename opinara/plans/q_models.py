@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from opinara.functions import vectors as vx
 from opinara.operators import models as md
 from opinara.operators import tables as tb
+from opinara.operators import wordvectors as wv
 from opinara.plans.registry import query
+from opinara.session import cut
 from opinara.sources import files
 
 
@@ -115,10 +118,27 @@ def _(t):
     return md.ranked_predictions(md.load_model(path), labelled(t), "id")
 
 
-@query("e1_embed", """SELECT id FROM reviews""")
+INFORMATION = r"""counts AS (SELECT a, b, count(*) AS n FROM (SELECT x.word AS a, y.word AS b FROM words x JOIN words y ON x.id = y.id AND x.spos = y.spos
+        AND abs(x.wpos - y.wpos) BETWEEN 1 AND 5) WHERE a IN (SELECT word FROM vocabulary WHERE n >= 20) AND b IN (SELECT word FROM vocabulary WHERE n >= 20) GROUP BY a, b),
+    sides AS (SELECT a, sum(n) AS s FROM counts GROUP BY a)"""
+
+
+@query("e1_word_information", f"""WITH {INFORMATION} SELECT a, b, round(x, 9) AS x FROM (SELECT c.a, c.b, ln(n * (SELECT sum(n) FROM counts) / (l.s * r.s)) AS x
+    FROM counts c JOIN sides l ON l.a = c.a JOIN sides r ON r.a = c.b) WHERE x > 0""")
+def _(t):
+    words = cut(wv.frequent_words(t.sentences, "sentence", least=20))
+    return wv.positive_information(cut(wv.cooccurrences(t.sentences, "sentence", words))).select("a", "b", F.round("x", 9).alias("x"))
+
+
+@query("e1_embed", f"""WITH {INFORMATION}, known AS (SELECT DISTINCT c.a AS word FROM counts c JOIN sides l ON l.a = c.a JOIN sides r ON r.a = c.b
+        WHERE n * (SELECT sum(n) FROM counts) > l.s * r.s)
+    SELECT s.id, s.spos, count(k.word) AS n_known, CASE WHEN count(k.word) > 0 THEN CAST(1 AS DOUBLE) END AS length FROM sentences s
+    LEFT JOIN words w ON w.id = s.id AND w.spos = s.spos LEFT JOIN known k ON k.word = w.word GROUP BY s.id, s.spos""")
 def _(t):
-    out = md.embed(t.reviews.select("id", "text"), "text")
-    return out.where(F.size("vec") == 256).select("id")
+    """Sentence vectors of learned word vectors: which words have one, and their unit length."""
+    said = t.sentences.select("id", "spos", "sentence")
+    learned = wv.word_vectors(said, "sentence", size=32, least=20)
+    return wv.mean_vectors(said, ["id", "spos"], "sentence", learned).select("id", "spos", "n_known", F.round(vx.norm(F.col("vec")), 9).alias("length"))
 
 
 @query("x1_batched_map", "SELECT id, length(text) AS n FROM reviews")
