@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from opinara.llm.shared import written
 
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
+KNOWN_WORDS = 300_000  # words that a worker remembers from batch to batch
 SALTS = 64
 #: A word begins at a blank behind a character that is no white space, and holds the
 #: white space that ends the text.
@@ -61,6 +62,7 @@ class Pair:
         self.size_a, self.size_b = (np.array([len(t.get(i, b"")) for i in range(max(t) + 1)], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.vocabulary = max(len(self.size_a), len(self.size_b))
         self.written = [f"{i}{mark}".encode() for mark in ",|;" for i in range(self.vocabulary)]
+        self.known: dict[str, tuple[bool, int, int, int, bytes, bytes]] = {}
         #: No piece holds a blank behind other characters, so none crosses a word's beginning.
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
 
@@ -74,7 +76,21 @@ class Pair:
         return found
 
     def align(self, words: list[str]) -> Aligned:
-        """The tokens, groups and links of words that begin with a blank."""
+        """The tokens, groups and links of distinct words that begin with a blank."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        for at in range(0, len(new), 8192):
+            made = self.align_new(new[at:at + 8192])
+            raw = made.links.tobytes()
+            ends = (8 * np.cumsum(made.n_links)).tolist()
+            cells = zip(made.ok.tolist(), made.n_a.tolist(), made.n_b.tolist(), made.n_links.tolist(), made.groups, [raw[a:b] for a, b in zip([0, *ends], ends)])
+            self.known.update(zip(new[at:at + 8192], cells))
+        ok, n_a, n_b, n_links, groups, links = zip(*map(self.known.__getitem__, words)) if words else ((),) * 6
+        whole = [np.array(x, np.int64) for x in (n_a, n_b, n_links)]
+        return Aligned(np.array(ok, bool), *whole, list(groups), np.frombuffer(b"".join(links), np.int64))
+
+    def align_new(self, words: list[str]) -> Aligned:
         encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
         ids_a = [e.ids for e in encode(words, add_special_tokens=False)]
         ids_b = self.b.encode([w[1:] for w in words], num_threads=1)
@@ -139,9 +155,8 @@ def align_batch(pair: Pair, batch: int, shas: list[bytes], texts: list[str], cop
     split = [pair.words(t) for t in texts]
     number = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
     distinct = list(number)
-    made = [pair.align(distinct[at:at + 8192]) for at in range(0, len(distinct), 8192)]
-    ok, size_a, size_b, n_links, links = (np.concatenate([getattr(m, c) for m in made]) for c in ("ok", "n_a", "n_b", "n_links", "links"))
-    groups = [g for m in made for g in m.groups]
+    made = pair.align(distinct)
+    ok, size_a, size_b, n_links, groups = made.ok, made.n_a, made.n_b, made.n_links, made.groups
     weight, rows = np.zeros(len(distinct), np.int64), []
     for sha, words, n in zip(shas, split, copies):
         own = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
@@ -152,7 +167,7 @@ def align_batch(pair: Pair, batch: int, shas: list[bytes], texts: list[str], cop
         total = int(n_links[own].sum())
         digest = sha256(b"".join(map(groups.__getitem__, own.tolist()))[:-1]).hexdigest()
         rows.append((batch, sha, int(size_a[own].sum()), int(size_b[own].sum()), total, total, digest, own.astype("<u4").tobytes()))
-    pairs, flat = np.unique(links, return_inverse=True)
+    pairs, flat = np.unique(made.links, return_inverse=True)
     count = np.zeros(len(pairs), np.int64)
     np.add.at(count, flat, np.repeat(weight, n_links))
     rows = [(*r, None, None, None, None, None) for r in rows]
