@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from opinara.functions import vectors as vx
+from opinara.operators import groups as gr
 from opinara.operators import models as md
 from opinara.operators import tables as tb
 from opinara.operators import wordvectors as wv
@@ -150,18 +151,30 @@ def _(t):
     return t.reviews.select("id", "text").mapInPandas(measure, "id long, n long")
 
 
-@query("x2_group_function", "SELECT user_id, round(max(value) - min(value), 4) AS spread FROM events GROUP BY user_id")
+@query("x2_group_function", """SELECT user_id, count(*) AS n, round(max(value) - min(value), 4) AS spread, round(var_samp(value), 4) AS variance,
+    list_reverse_sort(list(value))[:3] AS largest FROM events GROUP BY user_id""")
 def _(t):
+    """Spread, running variance and largest values of a user, by a function of one's own."""
+    import numpy as np
     import pandas as pd
 
-    def spread(pdf):
-        return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "spread": [round(float(pdf["value"].max() - pdf["value"].min()), 4)]})
+    def update(s, rows):
+        x = rows["value"].to_numpy(float)
+        return merge(s, (len(x), x.mean(), ((x - x.mean()) ** 2).sum(), x.min(), x.max(), sorted(x.tolist(), reverse=True)[:3]))
 
-    # a user's own function sees one bounded block at a time; the blocks' extremes are then merged
-    blocks = t.events.groupBy("user_id", F.pmod(F.xxhash64("event_id"), F.lit(8)).alias("b"))
-    ends = blocks.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    long = ends.select("user_id", F.explode(F.array("lo", "hi")).alias("value"))
-    return long.groupBy("user_id").applyInPandas(spread, "user_id long, spread double")
+    def merge(a, b):
+        if not a[0]:
+            return b
+        n, gap = a[0] + b[0], b[1] - a[1]
+        return (n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n, min(a[3], b[3]), max(a[4], b[4]), sorted(a[5] + b[5], reverse=True)[:3])
+
+    def finish(s):
+        variance = s[2] / (s[0] - 1) if s[0] > 1 else np.nan
+        return pd.DataFrame({"n": [s[0]], "spread": [s[4] - s[3]], "variance": [variance], "largest": [s[5]]})
+
+    fold = gr.Fold(lambda: (0, 0.0, 0.0, np.inf, -np.inf, []), update, merge, finish)
+    out = gr.fold_groups(t.events.select("user_id", "value").where("value IS NOT NULL"), ["user_id"], fold, "n long, spread double, variance double, largest array<double>")
+    return out.select("user_id", "n", F.round("spread", 4).alias("spread"), F.round(F.nanvl("variance", F.lit(None)), 4).alias("variance"), "largest")
 
 
 @query("x3_class_scorer", """SELECT round(count(*) FILTER (quality = 1 AND toxic = 1) / nullif(count(*) FILTER (toxic = 1), 0), 6) AS precision FROM labels""")

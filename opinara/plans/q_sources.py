@@ -132,14 +132,11 @@ def _(t):
 
 @query("i3_incremental_corrections", CORRECTED)
 def _(t):
-    from opinara.operators import textflow as tf
-    from opinara.session import cut
-
-    source, sink = files.scratch(t.spark, "in"), files.scratch(t.spark, "out")
-    t.reviews.select("id", "text").repartition(3).write.parquet(source)
-    fixes = cut(tf.corrections(t.vocabulary))
-    st.correction_stream(t.spark, source, t.reviews.select("id", "text").schema, sink, fixes)
-    return t.spark.read.parquet(sink).select("id", "corrected_text")
+    source, state = files.scratch(t.spark, "in"), files.scratch(t.spark, "out")
+    rows = t.reviews.select("id", "text")
+    rows.repartition(3).write.parquet(source)
+    st.learning_correction_stream(t.spark, source, rows.schema, state)
+    return st.learned_corrections(t.spark, state)
 
 
 @query("s9_review_rows", r"""SELECT id, pos, trim(regexp_replace(translate(text, '<>&', '   '), '\s+', ' ', 'g')) AS review_full_text, rating AS review_rating
