@@ -104,9 +104,11 @@ def search_radius(eps: float, metric: str) -> float:
 
 
 def close_pairs(df: DataFrame, group: str, key: str, vec: str, eps: float, metric: str = "cosine",
-                rows: int = BLOCK_ROWS) -> DataFrame:
-    """g, a, b, dist of distinct points (a < b) no further apart than ``eps``."""
-    points, _ = distinct_points(df, group, key, vec, metric)
+                rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(pairs g, a, b, dist; members g, rep, id): distinct points (a < b) no further apart
+    than ``eps``, and the rows of each point, so that pairs of equal vectors and of their
+    copies are known without being written out (:func:`with_copies` does that)."""
+    points, members = distinct_points(df, group, key, vec, metric)
 
     def near(x, y):
         same = y is None
@@ -119,7 +121,19 @@ def close_pairs(df: DataFrame, group: str, key: str, vec: str, eps: float, metri
         ia, jb = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
         return pd.DataFrame({"g": x["g"].iloc[0], "a": np.minimum(ia, jb), "b": np.maximum(ia, jb), "dist": d[i, j]})
 
-    return block_pairs(in_blocks(points, rows), search_radius(eps, metric), near, "g string, a long, b long, dist double")
+    return block_pairs(in_blocks(points, rows), search_radius(eps, metric), near, "g string, a long, b long, dist double"), members
+
+
+def with_copies(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """g, a, b, dist of all rows (a < b): every copy in the place of its point, and the
+    copies of one point at distance 0.  As many rows as there are pairs of copies."""
+    side = lambda name: members.select("g", F.col("rep").alias(name), F.col("id").alias(f"{name}_id"))
+    across = pairs.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"]).select("g", "a_id", "b_id", "dist")
+    several = members.groupBy("g", "rep").agg(F.count("*").alias("n")).where("n > 1").select("g", "rep")
+    held = members.join(several, ["g", "rep"], "left_semi")
+    alike = held.select("g", "rep", F.col("id").alias("a_id")).join(held.select("g", "rep", F.col("id").alias("b_id")), ["g", "rep"]).where("a_id < b_id")
+    rows = across.unionByName(alike.select("g", "a_id", "b_id", F.lit(0.0).alias("dist")))
+    return rows.select("g", F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "dist")
 
 
 def components(edges: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:

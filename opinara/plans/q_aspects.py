@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions import text as tx
 from opinara.operators import aspects as asp
+from opinara.operators import latent as lt
 from opinara.operators import models as md
 from opinara.operators import tables as tb
 from opinara.plans.q_relational import describe_sql, rounded
@@ -123,6 +124,21 @@ def _(t):
     return md.key_texts(ex, A, "id", "example").select(*A, "id", "example")
 
 
+@query("r10_latent_key_thought", r"""WITH ex AS (SELECT category, product, aspect, id, min(example) AS example FROM mention GROUP BY ALL),
+    c AS (SELECT category, product, aspect, id, term, count(*) AS n FROM (SELECT category, product, aspect, id, unnest(regexp_extract_all(lower(example), '[\p{L}\p{N}_]+')) AS term FROM ex) GROUP BY ALL),
+    k AS (SELECT category, product, aspect, id, sqrt(sum(power(0.4 + 0.6 * n / m, 2))) AS rank FROM (SELECT *, max(n) OVER (PARTITION BY category, product, aspect, id) AS m FROM c) GROUP BY ALL)
+    SELECT category, product, aspect, id, example FROM (SELECT category, product, aspect, max_by(id, (round(rank, 9), -id)) AS id FROM k GROUP BY ALL) JOIN ex USING (category, product, aspect, id)""")
+def _(t):
+    ex = t.mentions.groupBy(*A, "id").agg(F.min("example").alias("example"))
+    return lt.key_thoughts(ex, A, "id", "example").select(*A, "id", "example")
+
+
+@query("r10_latent_three_directions")
+def _(t):
+    ex = t.mentions.groupBy(*A, "id").agg(F.min("example").alias("example"))
+    return lt.key_thoughts(ex, A, "id", "example", dimensions=3).select(*A, "id", "example")
+
+
 @query("r11_extractive_summary", f"""WITH {TFIDF.format(keys='id, spos', text='sentence', src='sentences')}, {CENTRE.format(g='id', key='spos')}
     SELECT id, string_agg(sentence, '. ' ORDER BY spos) AS summary FROM (SELECT id, spos, row_number() OVER (PARTITION BY id ORDER BY sim DESC, spos) AS rk FROM sims)
     JOIN sentences USING (id, spos) WHERE rk <= 3 GROUP BY id""")

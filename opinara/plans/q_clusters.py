@@ -10,9 +10,10 @@ from opinara.operators import masks as mk
 from opinara.operators import partition as pt
 from opinara.operators import reviews as rv
 from opinara.operators import textflow as tf
+from opinara.operators import wordvectors as wv
 from opinara.plans.q_textflow import CLIMB, NOUNS, stop_array
 from opinara.plans.registry import query
-from opinara.session import spread
+from opinara.session import cut, spread
 
 
 def part_points(t):
@@ -57,7 +58,8 @@ def _(t):
     return dn.hdbscan(t.vectors, "product", "id", "vec", 3, 3)
 
 
-GRID_EPS, GRID_MIN = [0.01, 0.015, 0.02, 0.03, 0.05], [3, 5, 8, 12]
+# The grid's size, 15 radii and the minimum sizes 3 to 49; the radii suit two features in [0, 1].
+GRID_EPS, GRID_MIN = [0.004 * i for i in range(1, 16)], list(range(3, 50))
 
 
 def grid(t):
@@ -74,6 +76,10 @@ def _(t):
     return dn.usable_cells(grid(t))
 
 
+#: Five falling distances, spaced as the operator's own, where these vectors have neighbours.
+STEPS = (0.8, 0.75, 0.7, 0.65, 0.6)
+
+
 def clustered(t):
     """g, id, vec, n_words, cluster: one starting cluster per product."""
     words = t.reviews.select("id", tx.count_words(F.col("text")).alias("n_words"))
@@ -85,7 +91,7 @@ def clustered(t):
 def _(t):
     rows = clustered(t)
     limit = rv.word_threshold(rv.cluster_words(rows))
-    return rv.split_large(rows, limit, steps=(0.8, 0.7)).select("g", "id", "cluster")
+    return rv.split_large(rows, limit, steps=STEPS).select("g", "id", "cluster")
 
 
 @query("c10_word_threshold", r"""WITH w AS (SELECT product AS g, rating AS cluster, CAST(sum(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) + count(*) - 1 AS BIGINT) AS words
@@ -99,7 +105,7 @@ def _(t):
 def _(t):
     rows = clustered(t)
     few = rows.select("g", "cluster").distinct().groupBy("g").agg(F.count("*").alias("k")).where("k < 3").select("g")
-    out = rv.split_large(rows, rv.word_threshold(rv.cluster_words(rows)), only=few, steps=(0.75,))
+    out = rv.split_large(rows, rv.word_threshold(rv.cluster_words(rows)), only=few, steps=STEPS)
     return out.groupBy("g", "cluster").agg(F.count("*").alias("n"))
 
 
@@ -170,17 +176,18 @@ def _(t):
     return found.rows.groupBy("qid").agg(F.count("*").alias("found"), F.max((F.col("rk") == 1) & (F.col("sim") > 0.999999)).alias("first_is_itself"))
 
 
-def sentence_table(t):
-    """Every sentence of every text, named by its text and its place there."""
-    rows = t.vectors.select("id", "vec", F.concat(F.lit("p"), "product").alias("product")).join(
-        t.sentences.select("id", "spos", "sentence", "rating", "category"), "id")
+def sentence_table(t, least: int = 5):
+    """Every sentence of every text that has a learned vector, named by its text and its place there."""
+    said = t.sentences.select("id", "spos", "sentence", "rating", "category").join(t.vectors.select("id", F.concat(F.lit("p"), "product").alias("product")), "id")
+    said = cut(said)
+    rows = wv.mean_vectors(said, ["id", "spos"], "sentence", wv.word_vectors(said, "sentence", size=32, least=least)).where(F.col("vec").isNotNull())
     key = F.shiftleft("id", 24) + F.col("spos")
     return rows.select(key.alias("id"), F.lit("all").alias("category"), "product", "rating", "sentence", "vec", F.lit(1).alias("prediction"))
 
 
 @query("r13_review_clusters")
 def _(t):
-    return rv.cluster_reviews(sentence_table(t), "dbscan", min_words=3, steps=(0.75, 0.7), eps=0.78, min_pts=3)
+    return rv.cluster_reviews(sentence_table(t), "dbscan", min_words=3, eps=0.22, min_pts=3)
 
 
 def product_rows(t):

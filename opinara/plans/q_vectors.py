@@ -32,10 +32,18 @@ def _(t):
         "id", F.col("best.mask_id").alias("mask_id"), F.col("best.mask").alias("mask"), F.round("best.s", 6).alias("s"))
 
 
-@query("j8_close_pairs", """SELECT CAST(a.product AS VARCHAR) AS g, a.id AS a, b.id AS b, round(1 - list_cosine_similarity(a.vec, b.vec), 6) AS dist
-    FROM vectors a JOIN vectors b ON a.product = b.product AND a.id < b.id WHERE 1 - list_cosine_similarity(a.vec, b.vec) <= 0.75""")
+def doubled(t):
+    """The vectors, and a copy of every seventh one in the same product."""
+    return t.vectors.unionByName(t.vectors.where("id % 7 = 0").withColumn("id", F.col("id") + 10_000_000))
+
+
+DOUBLED = "twice AS (SELECT id, product, vec FROM vectors UNION ALL SELECT id + 10000000, product, vec FROM vectors WHERE id % 7 = 0)"
+
+
+@query("j8_close_pairs", f"""WITH {DOUBLED} SELECT CAST(a.product AS VARCHAR) AS g, a.id AS a, b.id AS b, abs(round(1 - list_cosine_similarity(a.vec, b.vec), 6)) AS dist
+    FROM twice a JOIN twice b ON a.product = b.product AND a.id < b.id WHERE 1 - list_cosine_similarity(a.vec, b.vec) <= 0.75""")
 def _(t):
-    return nb.close_pairs(t.vectors, "product", "id", "vec", 0.75).select("g", "a", "b", F.round("dist", 6).alias("dist"))
+    return nb.with_copies(*nb.close_pairs(doubled(t), "product", "id", "vec", 0.75)).select("g", "a", "b", F.abs(F.round("dist", 6)).alias("dist"))
 
 
 @query("a17_mean_pair_distance", """SELECT a.product, round(avg(1 - list_cosine_similarity(a.vec, b.vec)), 6) AS mean_distance

@@ -251,7 +251,18 @@ def test_review_clusters_read_every_sentence(spark):
     from opinara.plans.q_clusters import sentence_table
 
     vectors = spark.createDataFrame([(i, 7, [1.0, 0.0]) for i in (0, 1, 5_000_000_000)], "id long, product int, vec array<double>")
-    said = [(i, p, f"s{i}-{p}", 5, "en") for i in (0, 1, 5_000_000_000) for p in range(3)]
+    said = [(i, p, f"good screen and {w} sound {i % 7}-{p}", 5, "en") for i in (0, 1, 5_000_000_000) for p, w in enumerate(("loud", "clear", "loud"))]
     t = SimpleNamespace(vectors=vectors, sentences=spark.createDataFrame(said, "id long, spos int, sentence string, rating int, category string"))
-    got = sentence_table(t).collect()
+    got = sentence_table(t, least=2).collect()
     assert sorted(r.sentence for r in got) == sorted(s for _, _, s, _, _ in said) and len({r.id for r in got}) == 9
+    by = {r.sentence: r.vec for r in got}
+    assert len({tuple(np.round(v, 6)) for v in by.values()}) > 3  # sentences of a text have their own vectors
+
+
+def test_copies_are_pairs_too(spark):
+    v = np.concatenate([np.eye(3), np.eye(3)[:2], np.eye(3)[:1], [[1.0, 0.3, 0.0]]])
+    pairs, members = nb.close_pairs(frame(spark, v), "g", "id", "vec", 0.1)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j): round(1 - float(u[i] @ u[j]), 9) for i in range(7) for j in range(i + 1, 7) if 1 - u[i] @ u[j] <= 0.1}
+    assert {(r.a, r.b): abs(round(r.dist, 9)) for r in nb.with_copies(pairs, members).collect()} == want
+    assert {(r.rep, r.id) for r in members.collect()} == {(0, 0), (0, 3), (0, 5), (1, 1), (1, 4), (2, 2), (6, 6)}
