@@ -5,8 +5,9 @@ piece) and loss-bearing tokens.  A sequence is filled by the dot-product heurist
 vector bin packing: of the examples that fit, the one goes in whose demand agrees best
 with what the sequence has left.  Where none fits, one is cut.  Every task packs the
 rows of its own partition, pool by pool; what the last sequence of a pool holds goes
-over to the next one, and what is left at the end of a partition becomes sequences
-whose lengths are powers of two.  Nothing is shuffled.
+over to the next one.  What is left at the end of a partition, and a sequence that the
+other two limits close before its tokens do, becomes sequences whose lengths are powers
+of two, so nothing is padded.  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -45,13 +46,14 @@ class Tokens:
     """Token ids by a tokenizer file, with a memory of words.
 
     Texts of Latin-1 characters are cut at white space and each word is looked up; the
-    vocabulary's model is asked for new words only.  Other texts go to the tokenizer whole."""
+    vocabulary's model is asked for new words only.  Other texts go to the tokenizer whole, as
+    do those that hold the name of a special token, which the tokenizer reads as that token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
         with open(path) as f:
             spec = json.load(f)
         normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -69,7 +71,8 @@ class Tokens:
         """Little-endian unsigned 32-bit ids; none for null and empty texts."""
         if not text:
             return b""
-        if not self.by_word or not LATIN.fullmatch(text):
+        low = text.lower()
+        if not self.by_word or not LATIN.fullmatch(text) or any(t in low for t in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
@@ -151,12 +154,12 @@ def pack(items: list[Example], limits: Limits) -> tuple[list[list[Example]], lis
             need[best] = np.array([x.length, 1, x.bearing(x.length)]) / most
         if not left and sum(x.length for x in bin_) < limits.tokens:
             return full, bin_
-        full.append(bin_)
+        full += [bin_] if sum(x.length for x in bin_) == limits.tokens else powers(bin_)
     return full, []
 
 
 def powers(items: list[Example]) -> list[list[Example]]:
-    """The rest of a partition as sequences whose lengths are powers of two, longest first."""
+    """Examples as sequences whose lengths are powers of two, longest first."""
     total, out = sum(x.length for x in items), []
     for bit in range(total.bit_length() - 1, -1, -1):
         want, bin_ = total & (1 << bit), []
