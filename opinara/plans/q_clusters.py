@@ -59,7 +59,7 @@ def _(t):
 
 
 # The grid's size, 15 radii and the minimum sizes 3 to 49; the radii suit two features in [0, 1].
-GRID_EPS, GRID_MIN = [0.004 * i for i in range(1, 16)], list(range(3, 50))
+GRID_EPS, GRID_MIN = [0.005 * i for i in range(1, 16)], list(range(3, 50))
 
 
 def grid(t):
