@@ -114,7 +114,24 @@ def _(t):
     return hy.ward_by_distance(t.vectors, "product", "id", "vec", max_distance=3.2, unit=True)
 
 
-@query("c13_kmeans_per_product")
+def kmeans_sql(k: int, rounds: int) -> str:
+    """Farthest-first starts and ``rounds`` Lloyd steps over the components of all products."""
+    near = lambda r: (
+        f"d{r} AS (SELECT x.g, x.id, m.c, sum((x.v - m.v) * (x.v - m.v)) AS d FROM x JOIN {{0}} m ON m.g = x.g AND m.pos = x.pos GROUP BY ALL), "
+        f"a{r} AS (SELECT g, id, min(d) AS d, min_by(c, (d, c)) AS c FROM d{r} GROUP BY g, id)")
+    start = lambda j: near(f"s{j}").format(f"m{j}") + (
+        f", f{j} AS (SELECT g, max_by(id, (d, -id)) AS id FROM as{j} GROUP BY g HAVING max(d) > 0), "
+        f"m{j + 1} AS (SELECT g, c, pos, v FROM m{j} UNION ALL SELECT x.g, {j + 1}, pos, v FROM x JOIN f{j} USING (g, id))")
+    step = lambda r: near(r).format(f"c{r}") + (
+        f", c{r + 1} AS (SELECT m.g, m.c, m.pos, coalesce(u.v, m.v) AS v FROM c{r} m LEFT JOIN (SELECT x.g, a.c, x.pos, avg(x.v) AS v "
+        f"FROM x JOIN a{r} a ON a.g = x.g AND a.id = x.id GROUP BY ALL) u ON u.g = m.g AND u.c = m.c AND u.pos = m.pos)")
+    return f"""WITH x AS (SELECT CAST(product AS VARCHAR) AS g, id, k AS pos, x AS v FROM dims),
+    m0 AS (SELECT g, 0 AS c, pos, v FROM x WHERE (g, id) IN (SELECT g, min(id) FROM x GROUP BY g)),
+    {", ".join(start(j) for j in range(k - 1))}, c0 AS (SELECT * FROM m{k - 1}), {", ".join(step(r) for r in range(rounds))}, {near(rounds).format(f"c{rounds}")}
+    SELECT g, id, CAST(c AS INTEGER) AS cluster, round(d, 6) AS d2 FROM a{rounds}"""
+
+
+@query("c13_kmeans_per_product", kmeans_sql(5, 30))
 def _(t):
     out = pt.kmeans_groups(t.vectors, "product", "id", "vec", k=5)
     return out.select("g", "id", "cluster", F.round("d2", 6).alias("d2"))
@@ -195,9 +212,21 @@ def product_rows(t):
     return t.vectors.join(words, "id")
 
 
-@query("r14_product_clusters_kmeans")
+def product_clusters_sql(labels: str) -> str:
+    """The summary of clusters that ``labels`` (WITH ... SELECT g, id, cluster) gives."""
+    at = labels.rindex("SELECT g, id,")
+    return rf"""{labels[:at].rstrip()}, lab AS ({labels[at:]}),
+    rowset AS (SELECT l.g, CAST(l.cluster AS VARCHAR) AS cluster, l.id, v.vec, r.category, r.url, r.rating, len(list_filter(string_split_regex(r.text, '\s+'), lambda x: x <> '')) AS words
+        FROM lab l JOIN vectors v ON v.id = l.id JOIN reviews r ON r.id = l.id),
+    apart AS (SELECT a.g, a.cluster, avg(1 - list_cosine_similarity(a.vec, b.vec)) AS d FROM rowset a JOIN rowset b ON a.g = b.g AND a.cluster = b.cluster AND a.id < b.id GROUP BY ALL)
+    SELECT g, cluster, min_by(category, id) AS category, min_by(url, id) AS url, round(avg(rating), 6) AS rating_mean, count(*) AS elem_count, CAST(sum(words) AS BIGINT) AS word_count,
+        round(coalesce(any_value(d), 0), 6) AS mean_distance FROM rowset LEFT JOIN apart USING (g, cluster) GROUP BY g, cluster"""
+
+
+@query("r14_product_clusters_kmeans", product_clusters_sql(kmeans_sql(5, 30)))
 def _(t):
-    return rv.cluster_product_reviews(product_rows(t), "kmeans", k=5)
+    out = rv.cluster_product_reviews(product_rows(t), "kmeans", k=5)
+    return out.withColumns({c: F.round(c, 6) for c in ("rating_mean", "mean_distance")})
 
 
 @query("r14_product_clusters_hdbscan")
