@@ -87,7 +87,27 @@ def clustered(t):
     return rows.select(F.col("product").cast("string").alias("g"), "id", "vec", "n_words", F.lit("0").alias("cluster"))
 
 
-@query("c9_recursive_split")
+def split_sql(steps) -> str:
+    """The falling distances one after another: DBSCAN inside every cluster above its product's threshold."""
+    parts = [r"""r0 AS (SELECT CAST(v.product AS VARCHAR) AS g, v.id, v.vec, '0' AS cluster, len(list_filter(string_split_regex(r.text, '\s+'), lambda x: x <> '')) AS n
+        FROM vectors v JOIN reviews r ON r.id = v.id)""", """most AS (SELECT g, CASE WHEN w > 20 THEN w / 2 ELSE w END AS most FROM (SELECT g, sum(n) + count(*) - 1 AS w FROM r0 GROUP BY g))"""]
+    for i, e in enumerate(steps):
+        parts.append(f"""in{i} AS (SELECT g || chr(1) || cluster AS gk, id, vec FROM r{i} WHERE (g, cluster) IN (
+            SELECT (g, cluster) FROM (SELECT g, cluster, sum(n) + count(*) - 1 AS w FROM r{i} GROUP BY ALL) JOIN most USING (g) WHERE w > most)),
+        near{i} AS (SELECT a.gk, a.id AS a, b.id AS b FROM in{i} a JOIN in{i} b ON a.gk = b.gk AND 1 - list_cosine_similarity(a.vec, b.vec) <= {e} + 1e-9),
+        core{i} AS (SELECT gk, a AS id FROM near{i} GROUP BY ALL HAVING count(*) >= 3),
+        ce{i} AS (SELECT n.* FROM near{i} n JOIN core{i} x ON x.gk = n.gk AND x.id = n.a JOIN core{i} y ON y.gk = n.gk AND y.id = n.b),
+        reach{i}(gk, id, root) USING KEY (gk, id) AS (SELECT gk, id, id FROM core{i} UNION SELECT e.gk, e.a, min(r.root) FROM reach{i} r JOIN ce{i} e ON e.gk = r.gk AND e.b = r.id
+            JOIN recurring.reach{i} c ON c.gk = e.gk AND c.id = e.a WHERE r.root < c.root GROUP BY ALL),
+        lab{i} AS (SELECT gk, id, root AS label FROM reach{i} UNION ALL SELECT n.gk, n.a, min(l.root) FROM near{i} n JOIN reach{i} l ON l.gk = n.gk AND l.id = n.b
+            WHERE (n.gk, n.a) NOT IN (SELECT (gk, id) FROM core{i}) GROUP BY n.gk, n.a),
+        many{i} AS (SELECT gk FROM lab{i} GROUP BY gk HAVING count(DISTINCT label) > 1),
+        r{i + 1} AS (SELECT g, id, vec, cluster, n FROM r{i} WHERE g || chr(1) || cluster NOT IN (SELECT gk FROM many{i}) UNION ALL
+            SELECT r.g, r.id, r.vec, r.cluster || chr(1) || l.label, r.n FROM r{i} r JOIN lab{i} l ON l.gk = r.g || chr(1) || r.cluster AND l.id = r.id WHERE l.gk IN (SELECT gk FROM many{i}))""")
+    return f"WITH RECURSIVE {', '.join(parts)}, done AS (SELECT g, id, cluster FROM r{len(steps)})"
+
+
+@query("c9_recursive_split", f"{split_sql(STEPS)} SELECT g, id, cluster FROM done")
 def _(t):
     rows = clustered(t)
     limit = rv.word_threshold(rv.cluster_words(rows))
@@ -101,7 +121,7 @@ def _(t):
     return rv.word_threshold(rv.cluster_words(rows))
 
 
-@query("c11_at_least_three")
+@query("c11_at_least_three", f"{split_sql(STEPS)} SELECT g, cluster, count(*) AS n FROM done GROUP BY ALL")
 def _(t):
     rows = clustered(t)
     few = rows.select("g", "cluster").distinct().groupBy("g").agg(F.count("*").alias("k")).where("k < 3").select("g")
