@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from opinara.operators import tables as tb
 from opinara.plans.q_textflow import CORRECTED
+from opinara.plans.q_vectors import SENTENCE_LABELS, sentence_vectors
 from opinara.plans.registry import query
 from opinara.sources import files, pages
 from opinara.streaming import jobs as st
@@ -113,10 +114,9 @@ def _(t):
 # --- incremental ---------------------------------------------------------------------------
 
 
-@query("i1_stream_labels", r"""SELECT id, spos, CASE WHEN s > 0.4 THEN 0 WHEN len(w) IN (1, 3, 4) AND list_has_any(w, stop) THEN 2 WHEN 0.4 - s < 0.1 THEN -1 ELSE 1 END AS label
-    FROM mask_best JOIN (SELECT id, spos, list_filter(string_split_regex(sentence, '\s+'), lambda x: x <> '') AS w FROM sentences) USING (id), (SELECT list(word) AS stop FROM stop_words)""")
+@query("i1_stream_labels", f"WITH {SENTENCE_LABELS} SELECT id, spos, label FROM labelled_sentences")
 def _(t):
-    rows = t.vectors.select("id", "vec").join(t.sentences.select("id", "spos", "sentence"), "id")
+    rows = sentence_vectors(t)
     source, sink = files.scratch(t.spark, "in"), files.scratch(t.spark, "out")
     rows.repartition(4).write.parquet(source)
     words = [r[0] for r in t.stop_words.collect()]

@@ -8,6 +8,7 @@ from opinara.operators import masks as mk
 from opinara.operators import neighbours as nb
 from opinara.operators import textflow as tf
 from opinara.plans.q_clusters import dbscan_sql
+from opinara.operators import wordvectors as wvm
 from opinara.plans.registry import query
 
 def digest(word, digits):
@@ -74,12 +75,26 @@ def _(t):
                      F.round(vx.norm(v), 6).alias("n"), F.round(vx.euclidean(v, m), 6).alias("e"))
 
 
-@query("e3_mask_labels", r"""SELECT id, spos, CASE WHEN s > 0.4 THEN 0 WHEN len(w) IN (1, 3, 4) AND list_has_any(w, stop) THEN 2 WHEN 0.4 - s < 0.1 THEN -1 ELSE 1 END AS label,
-    round(s, 6) AS max_similarity FROM mask_best JOIN (SELECT id, spos, list_filter(string_split_regex(sentence, '\s+'), lambda x: x <> '') AS w FROM sentences) USING (id), (SELECT list(word) AS stop FROM stop_words)""")
+def sentence_vectors(t):
+    """id, spos, sentence, vec: every sentence with the mean of its words' vectors."""
+    said = t.sentences.select("id", "spos", "sentence")
+    return wvm.mean_vectors(said, ["id", "spos"], "sentence", word_vectors(t)).where(F.col("vec").isNotNull()).drop("n_known")
+
+
+SENTENCE_LABELS = r"""picked AS (SELECT word, CAST('0x' || md5(word)[:6] AS BIGINT) % (SELECT count(*) FROM embeddings) AS vid FROM vocabulary),
+    sdims AS (SELECT w.id, w.spos, d.k, avg(d.x) AS x FROM words w JOIN picked p ON p.word = w.word JOIN dims d ON d.id = p.vid GROUP BY ALL),
+    mdims AS (SELECT product AS mask_id, k, avg(x) AS x FROM dims GROUP BY ALL), msize AS (SELECT mask_id, sqrt(sum(x * x)) AS n FROM mdims GROUP BY ALL),
+    ssize AS (SELECT id, spos, sqrt(sum(x * x)) AS n FROM sdims GROUP BY ALL),
+    near AS (SELECT id, spos, max(s) AS s FROM (SELECT a.id, a.spos, b.mask_id, sum(a.x * b.x) / any_value(z.n * m.n) AS s FROM sdims a JOIN mdims b ON b.k = a.k
+        JOIN msize m ON m.mask_id = b.mask_id JOIN ssize z ON z.id = a.id AND z.spos = a.spos GROUP BY ALL) GROUP BY ALL),
+    labelled_sentences AS (SELECT id, spos, CASE WHEN s > 0.4 THEN 0 WHEN len(w) IN (1, 3, 4) AND list_has_any(w, stop) THEN 2 WHEN 0.4 - s < 0.1 THEN -1 ELSE 1 END AS label, round(s, 6) AS max_similarity
+        FROM near JOIN (SELECT id, spos, list_filter(string_split_regex(sentence, '\s+'), lambda x: x <> '') AS w FROM sentences) USING (id, spos), (SELECT list(word) AS stop FROM stop_words))"""
+
+
+@query("e3_mask_labels", f"WITH {SENTENCE_LABELS} SELECT id, spos, label, max_similarity FROM labelled_sentences")
 def _(t):
     words = [r[0] for r in t.stop_words.collect()]
-    rows = t.vectors.join(t.sentences.select("id", "spos", "sentence"), "id")
-    return mk.label_sentences(rows, t.masks, words, threshold=0.4).select(
+    return mk.label_sentences(sentence_vectors(t), t.masks, words, threshold=0.4).select(
         "id", "spos", "label", F.round("max_similarity", 6).alias("max_similarity"))
 
 
