@@ -1,10 +1,11 @@
 """Embedding near-duplicates over hierarchical navigable small-world graphs.
 
-Distinct vectors are dealt into shards and each shard gets a graph.  Every block of
-vectors is searched in every shard with a beam; all neighbours within the threshold
-are followed from there.  A recall audit of each block and shard compares sampled
-searches with all of the shard and doubles the beams until it passes.  Cosines are
-verified in double precision, counted, and joined into components.
+Distinct vectors are dealt into shards and each shard gets a graph.  A recall audit of the
+new graph compares sampled searches with all of the shard and doubles the beam until it
+passes; that beam is the shard's.  Every vector is searched in every shard, block by block,
+and all neighbours within the threshold are followed from the beam.  Searches number
+vectors times shards, so shards are as large as a task can hold.  Cosines are verified in
+double precision, counted, and joined into components.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from opinara.llm.components import connected, merge_labels
 from opinara.llm.shared import written
 from opinara.llm.vectors import matrix, packed
 
-SHARD_ROWS = 16_384
-BLOCK_ROWS = 4_096
+SHARD_ROWS = 32_768
+BLOCK_ROWS = 4_096  # at least; as many blocks as cores are enough
+FOLLOWED = 4_096  # nodes whose neighbours are compared at once: some 100 MB of vectors
 LINKS = 12  # kept by a node on an upper level; twice as many on the lowest
+SINGLE = 1e-5  # what single precision may miss, verified afterwards
 MARGIN = 0.02  # below the threshold, in which searches still go on
 
 
@@ -193,8 +196,8 @@ class Graph:
                 rows.append(r[hit] + at)
                 nodes.append(n[hit])
                 nr, nn = [], []
-                for k in range(0, len(r), 1 << 16):
-                    rr, nb = np.repeat(r[k:k + (1 << 16)], self.near[0].shape[1]), self.near[0][n[k:k + (1 << 16)]].ravel()
+                for k in range(0, len(r), FOLLOWED):
+                    rr, nb = np.repeat(r[k:k + FOLLOWED], self.near[0].shape[1]), self.near[0][n[k:k + FOLLOWED]].ravel()
                     fresh = (nb >= 0) & ~seen[rr, nb]
                     pair = np.unique(rr[fresh] * len(self.x) + nb[fresh])
                     rr, nb = pair // len(self.x), pair % len(self.x)
@@ -219,6 +222,14 @@ class Graph:
         r, n = self.within(probes, least, beam)
         return float(true[r, n].sum() / max(1, true.sum()))
 
+    def audited(self, least: float, recall: float, beam: int, sample: int, seed: int) -> int:
+        """The smallest of the beams ``beam``, twice that, ... whose audit reaches ``recall``;
+        one as wide as the shard holds all of it."""
+        rounds = 0
+        while beam < len(self.x) and self.audit(self.x, least, beam, sample, seed + rounds) < recall:
+            beam, rounds = 2 * beam, rounds + 1
+        return min(beam, max(1, len(self.x)))
+
     def pack(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, *self.near)
@@ -233,8 +244,8 @@ class Graph:
         return g
 
 
-def near_vectors(df: DataFrame, key: str, vec: str, least: float = 0.95, recall: float = 0.99, beam: int = 32, sample: int = 48,
-                 shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_vectors(df: DataFrame, key: str, vec: str, least: float = 0.95, recall: float = 0.99, beam: int = 32, sample: int = 256,
+                 shard_rows: int = SHARD_ROWS, block_rows: int | None = None) -> DataFrame:
     """(key, n_links, component, kept) for every row: how many other vectors have a cosine
     of ``least`` or more, the smallest key reachable over such links, and whether that is
     the row's own key.
@@ -247,6 +258,8 @@ def near_vectors(df: DataFrame, key: str, vec: str, least: float = 0.95, recall:
     rows = written(packed(df, key, vec, zero=False))
     nodes = written(rows.groupBy("v").agg(F.min("key").alias("node"), F.count("*").alias("w")))
     n = max(1, nodes.count())
+    # a shard's graph travels once a block: no smaller blocks than keep the cores busy
+    block_rows = block_rows or min(SHARD_ROWS, max(BLOCK_ROWS, n // (2 * df.sparkSession.sparkContext.defaultParallelism)))
     shards, blocks = -(-n // shard_rows), -(-n // block_rows)
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(blocks)).cast("int"))
@@ -254,23 +267,24 @@ def near_vectors(df: DataFrame, key: str, vec: str, least: float = 0.95, recall:
     def build(f: pd.DataFrame) -> pd.DataFrame:
         f = f.assign(h=pd.util.hash_array(f["node"].to_numpy().astype(np.uint64))).sort_values(["h", "node"])
         graph = Graph(unit(matrix(f["v"])))
+        width = graph.audited(least - SINGLE, recall, beam, sample, 7919 + int(f["shard"].iloc[0]))
         return pd.DataFrame({"shard": [f["shard"].iloc[0]], "ids": [f["node"].to_numpy().tobytes()], "ws": [f["w"].to_numpy().tobytes()],
-                             "vs": [b"".join(f["v"])], "graph": [graph.pack()]})
+                             "vs": [b"".join(f["v"])], "graph": [graph.pack()], "beam": [width]})
 
     def gather(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("node")
         return pd.DataFrame({"block": [f["block"].iloc[0]], "qids": [f["node"].to_numpy().tobytes()], "qs": [b"".join(f["v"])]})
 
-    graphs = written(dealt.groupBy("shard").applyInPandas(build, "shard int, ids binary, ws binary, vs binary, graph binary"))
+    graphs = written(dealt.groupBy("shard").applyInPandas(build, "shard int, ids binary, ws binary, vs binary, graph binary, beam int"))
     asked = dealt.groupBy("block").applyInPandas(gather, "block int, qids binary, qs binary")
     every = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = asked.select(F.col("block").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("in"), "qids", "qs")
-    cells = pairs.join(every, (F.col("of") == F.col("block")) & (F.col("in") == F.col("shard"))).select("of", "shard", "qids", "qs", "ids", "ws", "vs", "graph")
+    cells = pairs.join(every, (F.col("of") == F.col("block")) & (F.col("in") == F.col("shard"))).select("of", "shard", "qids", "qs", "ids", "ws", "vs", "graph", "beam")
 
     def search(frames):
         for f in frames:
             for c in f.itertuples(index=False):
-                yield _cell(c, least, recall, beam, sample)
+                yield _cell(c, least)
 
     found = written(cells.mapInPandas(search, "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -284,15 +298,12 @@ def near_vectors(df: DataFrame, key: str, vec: str, least: float = 0.95, recall:
                       F.coalesce(component == F.col(key), F.lit(False)).alias("kept"))
 
 
-def _cell(c, least: float, recall: float, beam: int, sample: int) -> pd.DataFrame:
+def _cell(c, least: float) -> pd.DataFrame:
     """Search one block in one shard: links of each query, and a spanning set of the links."""
     ids, ws, qids = (np.frombuffer(b, np.int64) for b in (c.ids, c.ws, c.qids))
     xs, qs = np.frombuffer(c.vs, np.float64).reshape(len(ids), -1), np.frombuffer(c.qs, np.float64).reshape(len(qids), -1)
     graph, q = Graph.unpack(unit(xs), c.graph), unit(qs)
-    low = least - 1e-5  # what single precision may miss is verified below
-    while beam < len(ids) and graph.audit(q, low, beam, sample, c.of * 7919 + c.shard) < recall:
-        beam = beam * 4 if beam < 512 else len(ids)  # 32, 128, 512, all
-    r, n = graph.within(q, low, min(beam, len(ids)))
+    r, n = graph.within(q, least - SINGLE, c.beam)
     qn, xn = np.sqrt((qs * qs).sum(axis=1)), np.sqrt((xs * xs).sum(axis=1))
     true = np.concatenate([np.einsum("rd,rd->r", qs[r[k:k + 65536]], xs[n[k:k + 65536]]) / (qn[r[k:k + 65536]] * xn[n[k:k + 65536]])
                            for k in range(0, len(r), 65536)] or [np.zeros(0)]) >= least
