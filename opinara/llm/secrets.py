@@ -10,9 +10,10 @@ length, however often it is repeated.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import zstandard
@@ -92,6 +93,10 @@ class Context:
         found = [m.span() for m in self.word.finditer(text)]
         self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
         self.headings: list[tuple[int, bool]] | None = None
+        # looked up for every candidate, so found once for the whole text
+        self.breaks = [m.start() for m in re.finditer("\n", text)] if found else []
+        self.gaps = [a + 2 for a, b in zip(self.breaks, self.breaks[1:]) if b == a + 1]
+        self.tables: dict[int, bool] = {}
 
     def within(self, lo: int, hi: int) -> bool:
         i = bisect_left(self.starts, lo)
@@ -100,10 +105,14 @@ class Context:
     def sensitive(self, s: int, e: int) -> bool:
         if not self.starts:
             return False
-        line, stop = self.text.rfind("\n", 0, s) + 1, self.text.find("\n", e)
-        stop = len(self.text) if stop < 0 else stop
-        return self.within(min(line, max(0, s - self.near)), s) or self.within(e, max(stop, e + self.near)) \
-            or self.under_heading(line) or self.in_table(line, stop)
+        i, j = bisect_left(self.breaks, s), bisect_left(self.breaks, e)
+        line = self.breaks[i - 1] + 1 if i else 0
+        stop = self.breaks[j] if j < len(self.breaks) else len(self.text)
+        if self.within(min(line, max(0, s - self.near)), s) or self.within(e, max(stop, e + self.near)) or self.under_heading(line):
+            return True
+        if line not in self.tables:
+            self.tables[line] = self.in_table(line, stop)
+        return self.tables[line]
 
     def under_heading(self, line: int) -> bool:
         if self.headings is None:
@@ -118,8 +127,8 @@ class Context:
         return i >= 0 and self.headings[i][1]
 
     def in_table(self, line: int, stop: int) -> bool:
-        top = self.text.rfind("\n\n", 0, line)
-        top = 0 if top < 0 else top + 2
+        i = bisect_right(self.gaps, line)
+        top = self.gaps[i - 1] if i else 0
         end = self.text.find("\n", top)
         if top >= line or not self.within(top, end):
             return False
@@ -145,9 +154,15 @@ def spans(text: str | None, least: float = 0.8, context: int = 48) -> list[dict]
     base, words = base_spans(text), _tools()[5]
     found = [(k, s, e, novelty(text, s, e)) for k, s, e in base]
     place = Context(text, context)
+    starts = sorted(s for _, s, _ in base)
+    reach = list(accumulate((e for _, _, e in sorted(base, key=lambda x: x[1])), max))  # the furthest end so far
+
+    def covered(s: int, e: int) -> bool:
+        i = bisect_left(starts, e)
+        return i > 0 and reach[i - 1] > s
 
     def add(s: int, e: int) -> bool:
-        if not keylike(text[s:e]) or not place.sensitive(s, e) or any(a < e and s < b for _, a, b in base):
+        if covered(s, e) or not keylike(text[s:e]) or not place.sensitive(s, e):
             return False
         n = novelty(text, s, e)
         if n >= least:

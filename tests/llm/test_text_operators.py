@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from opinara.llm import bpe, langid, licences, packing, secrets, simhash, suffixes, toxicity
@@ -41,9 +42,9 @@ def test_merge_replay_equals_tiktoken_and_decodes(spark, make_docs):
 
 def test_word_ids_equal_the_tokenizer():
     own, got = Tokenizer.from_file(WORDS), packing.Tokens(WORDS)
-    own.encode_special_tokens = True
     assert got.by_word
-    for t in TRICKY:
+    special = ["x <|endoftext|> y <|startoftext|> z", "<|endoftext|>", "a<|ENDOFTEXT|>b", "<|endoftext|", "é <|startoftext|>日本"]
+    for t in [*TRICKY, *special]:
         assert np.frombuffer(got.ids(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids
 
 
@@ -68,6 +69,13 @@ def test_packing_holds_every_id_once(spark, make_docs):
         assert at == 4096 or at & (at - 1) == 0
 
 
+@pytest.mark.parametrize("tokens", [1, 3, 5, 700])
+def test_no_sequence_needs_padding(tokens):
+    items = [(i, np.arange(tokens, dtype="<u4").tobytes(), tokens) for i in range(6000 if tokens < 700 else 90)]
+    sizes = [sum(x.length for x in seq) for seq in packing.sequences(iter(items), packing.Limits())]
+    assert sum(sizes) == tokens * len(items) and all(n & (n - 1) == 0 for n in sizes)
+
+
 def test_packing_keeps_all_limits():
     rng = np.random.default_rng(1)
     limits = packing.Limits(512, 5, 200)
@@ -214,6 +222,67 @@ def test_licences(spark, make_docs):
     assert rows[52].licences[0].licence == "Apache-2.0" and rows[1].licences == []
 
 
+def own_base_spans(text):
+    """The three kinds by hand: at every place the longest match, going on behind it."""
+    low, out = text, []
+    letters, tail = "abcdefghijklmnopqrstuvwxyz", set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    fold = lambda x: "".join(c.lower() if c.lower() in letters and ord(c) < 128 else c for c in x)
+    run = lambda i, ok: next((j for j in range(i, len(text)) if text[j] not in ok), len(text))
+    i = 0
+    while i < len(text):
+        name = next((n for n in ("password", "passwd", "secret", "token", "apikey", "api_key") if fold(low[i:i + len(n)]) == n), None)
+        if name:
+            j = i + len(name)
+            j += text[j:j + 1] in ("'", '"') and text[j:j + 1] != ""
+            j = run(j, " ")
+            if text[j:j + 1] in (":", "=") and text[j:j + 1]:
+                j = run(j + 1, " ")
+                j += text[j:j + 1] in ("'", '"') and text[j:j + 1] != ""
+                e = run(j, tail)
+                if e > j:
+                    if e - j >= 8:
+                        out.append(("assign", i, e))
+                    i = e
+                    continue
+        i += 1
+    for kind, first, ok, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < len(text):
+            e = run(i + len(first), ok) if text.startswith(first, i) else i
+            if e > i + len(first):
+                if e - i >= least:
+                    out.append((kind, i, e))
+                i = e
+            else:
+                i += 1
+    return sorted(out, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_base_spans_equal_a_search_by_hand(spark, make_docs):
+    rng = random.Random(8)
+    parts = ["password", "Api_Key", "apikey", "token", "secret", "=", ": ", ' = "', "'", '"', " ", "\n", "abc12345", "x", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, "deadbeef", "KKey", "é", "🙂"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(400)]
+    for t in texts:
+        assert sorted(secrets.base_spans(t), key=lambda x: (x[1], secrets.KINDS.index(x[0]))) == own_base_spans(t), repr(t)
+    docs = [(i, t) for i, t in enumerate(texts[:60])] + [(900, None), (901, "")]
+    rows = {r.doc_id: r for r in secrets.find_secrets(make_docs(docs)).select("doc_id", secrets.listed(F.col("secrets"), True).alias("base")).collect()}
+    for k, t in docs:
+        assert rows[k].base == ",".join(f"{a}:{b}:{c}" for a, b, c in own_base_spans(t or ""))
+
+
+def test_long_lines_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        line = " ".join(f"token {i:08x}deadbeefdeadbeefdeadbeef0 Zq8{i}kfPw92mXv" for i in range(n))
+        start = time.process_time()
+        assert len(secrets.spans(line)) >= n
+        return time.process_time() - start
+
+    seconds(50)
+    assert seconds(4000) < 16 * max(seconds(1000), 0.05)
+
+
 def test_repeated_short_and_dotted_secrets_in_any_context():
     key = "kX93bQz7LmP02vRtY8wA"
     found = lambda t: [t[s["start"]:s["end"]] for s in secrets.spans(t) if s["kind"] == "novel"]
