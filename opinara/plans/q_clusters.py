@@ -134,7 +134,7 @@ def _(t):
     return hy.ward_by_distance(t.vectors, "product", "id", "vec", max_distance=3.2, unit=True)
 
 
-def kmeans_sql(k: int, rounds: int) -> str:
+def kmeans_sql(k: int, rounds: int, rows: str = "dims") -> str:
     """Farthest-first starts and ``rounds`` Lloyd steps over the components of all products."""
     near = lambda r: (
         f"d{r} AS (SELECT x.g, x.id, m.c, sum((x.v - m.v) * (x.v - m.v)) AS d FROM x JOIN {{0}} m ON m.g = x.g AND m.pos = x.pos GROUP BY ALL), "
@@ -145,7 +145,7 @@ def kmeans_sql(k: int, rounds: int) -> str:
     step = lambda r: near(r).format(f"c{r}") + (
         f", c{r + 1} AS (SELECT m.g, m.c, m.pos, coalesce(u.v, m.v) AS v FROM c{r} m LEFT JOIN (SELECT x.g, a.c, x.pos, avg(x.v) AS v "
         f"FROM x JOIN a{r} a ON a.g = x.g AND a.id = x.id GROUP BY ALL) u ON u.g = m.g AND u.c = m.c AND u.pos = m.pos)")
-    return f"""WITH x AS (SELECT CAST(product AS VARCHAR) AS g, id, k AS pos, x AS v FROM dims),
+    return f"""WITH x AS (SELECT CAST(product AS VARCHAR) AS g, id, k AS pos, x AS v FROM {rows}),
     m0 AS (SELECT g, 0 AS c, pos, v FROM x WHERE (g, id) IN (SELECT g, min(id) FROM x GROUP BY g)),
     {", ".join(start(j) for j in range(k - 1))}, c0 AS (SELECT * FROM m{k - 1}), {", ".join(step(r) for r in range(rounds))}, {near(rounds).format(f"c{rounds}")}
     SELECT g, id, CAST(c AS INTEGER) AS cluster, round(d, 6) AS d2 FROM a{rounds}"""
@@ -243,7 +243,7 @@ def product_clusters_sql(labels: str) -> str:
         round(coalesce(any_value(d), 0), 6) AS mean_distance FROM rowset LEFT JOIN apart USING (g, cluster) GROUP BY g, cluster"""
 
 
-@query("r14_product_clusters_kmeans", product_clusters_sql(kmeans_sql(5, 30)))
+@query("r14_product_clusters_kmeans", product_clusters_sql(kmeans_sql(5, 30, "dims WHERE id IN (SELECT id FROM reviews)")))
 def _(t):
     out = rv.cluster_product_reviews(product_rows(t), "kmeans", k=5)
     return out.withColumns({c: F.round(c, 6) for c in ("rating_mean", "mean_distance")})
