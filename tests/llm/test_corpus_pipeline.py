@@ -26,7 +26,7 @@ def test_queries_equal_their_sql(spark, name):
 @tables
 def test_every_operator_is_registered(spark):
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 @tables
