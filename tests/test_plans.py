@@ -10,6 +10,8 @@ from opinara.operators import density as dn
 from opinara.operators import models as md
 from opinara.operators import tables as tb
 from opinara.operators import textflow as tf
+from opinara.plans import load_registry
+from opinara.plans.fixtures import Tables
 
 
 def plan(df):
@@ -62,3 +64,31 @@ def test_clause_tree(spark):
     assert got == {1: "Экран яркий", 4: "звук тихий"}
     black = F.array(F.lit("тихий"))
     assert [r.clause for r in tf.descriptive_clauses(tf.clauses(tokens, ["id"]), black).collect()] == [1]
+
+
+def repeated_texts(spark, tmp_path):
+    """Reviews of which some share an id, have none, or have no text."""
+    text = "Good Phone, nice. Bad price and Bad sound! One two three four five six seven, eight nine. Big " + "word " * 20
+    rows = [(1, text), (2, "Fine. " + text), (2, "Other words here, again. " + text), (None, text), (None, "No id. Here, at all."), (3, None), (4, " . ")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    return Tables(spark, str(tmp_path))
+
+
+def test_whole_sentences_need_no_shuffled_tokens(spark, tmp_path):
+    t = repeated_texts(spark, tmp_path)
+    keys = ["id", "spos"]
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(tf.clauses(t.annotated, keys), tf.clauses(t.tokens, keys))
+    assert same(tf.clauses(t.annotated, keys, fallback=True), tf.clauses(t.tokens, keys, fallback=True))
+    targets = t.tokens.where("pos = 1 OR lemma = 'word'").select(*keys, F.col("pos").alias("target"))
+    none = F.array().cast("array<string>")
+    assert same(tf.related_words(t.annotated, targets, keys, none), tf.related_words(t.tokens, targets, keys, none))
+    aggregates = [x for x in plan(load_registry()["t4_clauses"].run(t)).split("\n") if "collect_list" in x]
+    assert aggregates and not any("head" in x or "lemma" in x for x in aggregates)
+
+
+def test_vocabulary_counts_a_repeated_id_once(spark, tmp_path):
+    t = repeated_texts(spark, tmp_path)
+    want = t.words.groupBy("id", "word").agg(F.count("*").alias("n")).groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+    assert sorted(t.vocabulary.select("word", "df", "n").collect()) == sorted(want.collect())
