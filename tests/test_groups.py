@@ -74,3 +74,18 @@ def test_any_split_ends_at_the_result_of_one_batch(spark, tmp_path):
     (tmp_path / "a-state/progress/commits").mkdir()
     st.learning_correction_stream(spark, source, schema, state)
     assert {r.id: r.corrected_text for r in st.learned_corrections(spark, state).collect()} == want
+
+
+def test_rows_of_a_small_group_are_updated_together(spark):
+    """Scattered rows of many groups: a group costs about one update, not one a row."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def update(s, rows):
+        calls.add(1)
+        return s + len(rows)
+
+    fold = gr.Fold(lambda: 0, update, lambda a, b: a + b, lambda s: pd.DataFrame({"n": [s]}))
+    df = spark.range(12_000).selectExpr("IF(id % 300 = 0, NULL, id % 300) AS g", "id").repartition(12)
+    got = {r.g: r.n for r in gr.fold_groups(df, ["g"], fold, "n long").collect()}
+    assert got == {k or None: 40 for k in range(300)}
+    assert calls.value <= 2 * 300
