@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinara.operators import density as dn
+from opinara.operators import features as ft
 from opinara.operators import hierarchy as hy
 from opinara.operators import masks as mk
 from opinara.operators import neighbours as nb
@@ -266,3 +267,31 @@ def test_copies_are_pairs_too(spark):
     want = {(i, j): round(1 - float(u[i] @ u[j]), 9) for i in range(7) for j in range(i + 1, 7) if 1 - u[i] @ u[j] <= 0.1}
     assert {(r.a, r.b): abs(round(r.dist, 9)) for r in nb.with_copies(pairs, members).collect()} == want
     assert {(r.rep, r.id) for r in members.collect()} == {(0, 0), (0, 3), (0, 5), (1, 1), (1, 4), (2, 2), (6, 6)}
+
+
+def test_silhouettes_meet_every_vector_once(spark, monkeypatch):
+    """Sixty copies of each row: as many points in the blocks as there are vectors of a cluster,
+    the same values as by brute force, and nothing lost where blocks are many."""
+    rng = np.random.default_rng(8)
+    v = np.repeat(np.round(rng.normal(size=(25, 2)), 1), 60, axis=0)
+    c = np.repeat(np.arange(25) % 3, 60)
+    df = spark.createDataFrame([(i, [float(x) for x in r], int(k)) for i, (r, k) in enumerate(zip(v, c))], "id long, v array<double>, c long")
+    seen, in_blocks = [], nb.in_blocks
+    monkeypatch.setattr(nb, "in_blocks", lambda points, rows: seen.append(points.count()) or in_blocks(points, rows))
+    got = {r.id: r.silhouette for r in ft.silhouettes(df, "id", "v", "c", rows=7).collect()}
+    assert seen == [len({(*r, k) for r, k in zip(v.tolist(), c.tolist())})]
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    for i in range(0, len(v), 60):
+        a = d[i][c == c[i]].sum() / ((c == c[i]).sum() - 1)
+        b = min(d[i][c == k].mean() for k in range(3) if k != c[i])
+        for j in range(i, i + 60):
+            assert got[j] == pytest.approx((b - a) / max(a, b))
+    assert len(got) == len(v)
+
+
+def test_block_pairs_keep_their_tasks(spark):
+    """A few kilobytes of points are much work, so they are not put into one task."""
+    v = np.random.default_rng(2).normal(size=(300, 2))
+    blocked = nb.in_blocks(frame(spark, v).withColumnRenamed("vec", "v"), 20)
+    task = nb.block_pairs(blocked, None, lambda x, y: __import__("pandas").DataFrame({"n": [__import__("pyspark").TaskContext.get().partitionId()]}), "n int")
+    assert task.distinct().count() > 4
