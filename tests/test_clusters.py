@@ -295,3 +295,33 @@ def test_block_pairs_keep_their_tasks(spark):
     blocked = nb.in_blocks(frame(spark, v).withColumnRenamed("vec", "v"), 20)
     task = nb.block_pairs(blocked, None, lambda x, y: __import__("pandas").DataFrame({"n": [__import__("pyspark").TaskContext.get().partitionId()]}), "n int")
     assert task.distinct().count() > 4
+
+
+def test_grid_sizes_equal_the_rows_of_every_cell(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(c, 0.15, (40, 2)) for c in ((0, 0), (1, 1))] + [np.repeat([[3.0, 3.0]], 9, axis=0), [[9.0, 9.0]]])
+    eps, least = [0.05, 0.1, 0.3], [2, 3, 5, 8, 12]
+    labels = dn.dbscan_grid(frame(spark, v), "g", "id", "vec", eps, least, "euclidean", 16)
+    wanted = {(r.eps, r.min_pts, r.label): r["count"] for r in labels.groupBy("eps", "min_pts", "label").count().collect()}
+    sizes = dn.grid_sizes(frame(spark, v), "g", "id", "vec", eps, least, "euclidean", rows=16)
+    assert {(r.eps, r.min_pts, r.label): r.n for r in sizes.collect()} == wanted
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    for e, m in itertools.product(eps, least):
+        assert {r.id: r.label for r in labels.where((F.col("eps") == e) & (F.col("min_pts") == m)).collect()} == brute_dbscan(d, e, m)
+
+
+def test_points_in_at_every_step_are_joined_at_once():
+    """Two clumps of 300 and a thin bridge: forest edges of dense points without a walk over them."""
+    v = np.concatenate([np.random.default_rng(1).normal(c, 0.05, (300, 1)) for c in (0, 2)] + [np.linspace(0.2, 1.8, 12)[:, None]])
+    d = np.abs(v - v.T)
+    near = d <= 0.16
+    n = near.sum(axis=1).astype(float)
+    a, b, w = dn._core_forest(near, n, 2, 49)
+    assert w.max() == 49 and (w == 49).sum() >= 590
+    for m in (2, 3, 5, 49):
+        forest = dn.Forest(len(v))
+        for x, y in zip(a[w >= m].tolist(), b[w >= m].tolist()):
+            forest.join(x, y)
+        on, label = n >= m, forest.labels()
+        ids = brute_dbscan(np.where(on[:, None] & on[None], d, 9.0), 0.16, 1)
+        assert all(label[i] == ids[i] for i in np.flatnonzero(on))
