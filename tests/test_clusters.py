@@ -289,6 +289,19 @@ def test_silhouettes_meet_every_vector_once(spark, monkeypatch):
     assert len(got) == len(v)
 
 
+@pytest.mark.parametrize("rows", [1024, 4])
+def test_silhouettes_with_null_components_and_clusters(spark, rows):
+    """An unknown distance is left out of a sum, as in SQL, wherever the blocks are cut; the rows stay."""
+    at = [(0, 0.0, 0), (1, 1.0, 0), (2, None, 0), (3, 5.0, 1), (4, 6.0, 1), (5, None, None), (6, 2.0, None)] + [(i, float(i), 1) for i in range(7, 15)]
+    df = spark.createDataFrame([(i, [x, 0.0], k) for i, x, k in at], "id long, v array<double>, c long")
+    got = {r.id: r.silhouette for r in ft.silhouettes(df, "id", "v", "c", rows=rows).collect()}
+    side = {k: [x for _, x, c in at if c == k] for k in (0, 1)}
+    mean = lambda x, k, n: sum(abs(x - y) for y in side[k] if y is not None) / n
+    for i, x, k in at:
+        a, b = (0, 0) if x is None or k is None else (mean(x, k, len(side[k]) - 1), mean(x, 1 - k, len(side[1 - k])))
+        assert got[i] == pytest.approx((b - a) / max(a, b) if max(a, b) else 0.0)
+
+
 def test_block_pairs_keep_their_tasks(spark):
     """A few kilobytes of points are much work, so they are not put into one task."""
     v = np.random.default_rng(2).normal(size=(300, 2))
