@@ -96,9 +96,12 @@ def preprocess_category(c: Column) -> Column:
 
 
 def sentence_list(c: Column) -> Column:
-    """Sentences of a text: runs between terminal marks, trimmed, never blank."""
-    parts = F.split(clean_spacing(c), r"[.!?…]+")
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    """Sentences of a text: runs between terminal marks, trimmed, never blank.
+
+    These are the runs of the text with clean spacing; what that does around dots falls to
+    the marks, which take the white space beside them along."""
+    spaced = strip(F.regexp_replace(c, r"(?U)[\n\r\t]+|\s{2,}", " "))
+    return F.filter(F.split(spaced, r"(?U)\s*[.!?…][.!?…\s]*"), lambda s: s != "")
 
 
 def rating_class(c: Column) -> Column:

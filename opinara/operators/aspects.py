@@ -101,9 +101,13 @@ def top_list(counts: DataFrame, keys: list[str], item: str, n: int, name: str) -
 
 
 def analyse(reviews: DataFrame, lexicon: DataFrame, tokens: DataFrame, categories=None, keep: int = 5,
-            whole: tf.Annotated | None = None) -> DataFrame:
-    """Aspect table of all categories in one plan."""
-    sents = tf.split_sentences(in_categories(reviews, categories).drop("url"), "text", keep_empty=False)
+            whole: tf.Annotated | None = None, sentences: DataFrame | None = None) -> DataFrame:
+    """Aspect table of all categories in one plan; ``sentences`` are those of the reviews
+    where they have been split before."""
+    if sentences is None:
+        sents = tf.split_sentences(in_categories(reviews, categories).drop("url"), "text", keep_empty=False)
+    else:
+        sents = in_categories(sentences, categories)
     found = cut(mentions(sents, lexicon, tokens, whole=whole))  # used three times
     traits = top_list(characteristic_counts(found), ASPECT, "word", keep, "characteristics")
     phrases = top_list(phrase_counts(found), ASPECT, "phrase", keep, "agreed_phrases")

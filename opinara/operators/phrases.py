@@ -64,10 +64,13 @@ def occurrences(tokens: DataFrame, terms: DataFrame, keys: list[str]) -> DataFra
     """
     filed = _filed(terms)
     words = tokens.select(*keys, "pos", F.coalesce("lemma", F.lit("")).alias("lemma"))
+    # one pass over all words keeps those of some term, and those without a lemma, which tell what is next to what
+    named = cut(filed.select(F.explode("lemmas").alias("lemma")).union(filed.select(F.lit(""))).distinct())
+    words = cut(words.join(checked_small(named), "lemma", "left_semi"))
     single = words.join(checked_small(filed.where(F.size("lemmas") == 1)), "lemma").select(
         *keys, "term", F.col("pos").alias("first"), F.col("pos").alias("last"))
     longer = filed.where(F.size("lemmas") > 1)
-    # of a sentence only words that some longer term has travel, and those without a lemma, which tell what is next to what
+    # of a sentence only words that some longer term has travel
     known = cut(longer.select(F.explode("lemmas").alias("lemma")).union(longer.select(F.lit(""))).distinct())
     kept = words.join(checked_small(known), "lemma", "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "lemma"))).alias("w"))
     full = F.filter("w", lambda x: x["lemma"] != "")

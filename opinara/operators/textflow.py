@@ -213,7 +213,9 @@ def _ancestors(tk: Column) -> Column:
     rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(tk) + 1)).cast("int") + 1)
     more = lambda acc: F.transform(acc, lambda a: F.when(a["far"].isNull(), a).otherwise(F.struct(
         F.array_distinct(F.concat(a["up"], F.get(acc, a["far"])["up"])).alias("up"), F.get(acc, a["far"])["far"].alias("far"))))
-    return F.transform(F.aggregate(rounds, first, lambda acc, _: more(acc)), lambda a: a["up"])
+    # a flat tree is done after few rounds
+    step = lambda acc: F.when(F.exists(acc, lambda a: a["far"].isNotNull()), more(acc)).otherwise(acc)
+    return F.transform(F.aggregate(rounds, first, lambda acc, _: step(acc)), lambda a: a["up"])
 
 
 def related_words(tokens: DataFrame | Annotated, targets: DataFrame, keys: list[str], skip: Column,
@@ -229,19 +231,18 @@ def related_words(tokens: DataFrame | Annotated, targets: DataFrame, keys: list[
     tk, up = F.col("tk"), F.col("up")
     told = lambda o: o["tag"].isin("ADJ", "ADV", "VERB")
 
-    def found(t, below, tokens_):
-        return F.transform(F.filter(tokens_, told), lambda o: F.struct(
-            t.alias("target"), F.lit(below).alias("below"), o.alias("o"), F.get(tk, o["head"]).alias("p")))
-
-    def links(t):
-        under = F.filter(tk, lambda o: (o["pos"] != t) & F.array_contains(F.get(up, o["pos"]), t))
-        over = F.transform(F.array_remove(F.get(up, t), t), lambda i: F.get(tk, i))
-        return F.concat(found(t, True, under), found(t, False, over))
+    def link(t, below, o):
+        return F.struct(t.alias("target"), F.lit(below).alias("below"), o.alias("o"), F.get(tk, o["head"]).alias("p"))
 
+    # a word looks for targets among the few positions above it, no target goes over all words
+    above = lambda o: F.coalesce(F.array_remove(F.array_intersect(F.get(up, o["pos"]), F.col("targets")), o["pos"]), F.array().cast("array<int>"))
+    under = F.flatten(F.transform(F.filter(tk, told), lambda o: F.transform(above(o), lambda t: link(t, True, o))))
+    over = F.flatten(F.transform("targets", lambda t: F.transform(
+        F.filter(F.transform(F.array_remove(F.get(up, t), t), lambda i: F.get(tk, i)), told), lambda o: link(t, False, o))))
     hits = (
         _sentence_rows(tokens, keys, wanted)
         .withColumn("up", _ancestors(tk))
-        .select(*keys, F.explode(F.flatten(F.transform("targets", links))).alias("x"))
+        .select(*keys, F.explode(F.concat(under, over)).alias("x"))
         .select(*keys, "x.*")
     )
     plain = F.when(

@@ -26,7 +26,7 @@ TRAITS = "(SELECT category, product, aspect, word, count(*) AS n FROM mention m
     FROM rolled r LEFT JOIN {top_sql(TRAITS, 'category, product, aspect', 'word', 5, 'characteristics')} c USING (category, product, aspect)
     LEFT JOIN {top_sql('phrases', 'category, product, aspect', 'phrase', 5, 'agreed_phrases')} f USING (category, product, aspect)""")
 def _(t):
-    return asp.analyse(t.reviews, t.phrase_lexicon, t.tokens, whole=t.annotated).select(
+    return asp.analyse(t.reviews, t.phrase_lexicon, t.spoken_tokens, whole=t.spoken_annotated, sentences=t.spoken).select(
         *A, "n", "positive", "negative", "sentiment", "traits", "characteristics", "agreed_phrases")
 
 
