@@ -91,11 +91,15 @@ def _nearest(x: pd.DataFrame, y: pd.DataFrame | None, most: float | None) -> pd.
     return pd.concat(out) if out else pd.DataFrame({"g": [], "id": [], "cost": [], "to": []}).astype({"g": str, "id": "int64", "cost": float, "to": "int64"})
 
 
+def _least(f: pd.DataFrame) -> pd.DataFrame:
+    return f.sort_values(["cost", "to"]).drop_duplicates("id")
+
+
 def _round(state: DataFrame, most: float | None, rows: int) -> tuple[DataFrame, DataFrame]:
     """(joins, clusters afterwards) of one round.  ``state``: g, id, w, v, cost, to; the
     last two null where the cluster has to search."""
     blocked = nb.in_blocks(state.withColumn("search", F.col("to").isNull()), rows)
-    found = nb.block_pairs(blocked, most, lambda x, y: _nearest(x, y, most), "g string, id long, cost double, to long", "search")
+    found = nb.block_pairs(blocked, most, lambda x, y: _nearest(x, y, most), "g string, id long, cost double, to long", "search", _least)
     best = found.groupBy("g", "id").agg(F.min(F.struct("cost", "to")).alias("b")).select("g", "id", "b.*")
     kept = state.where(F.col("to").isNotNull()).select("g", "id", "cost", "to")
     near = cut(best.unionByName(kept))

@@ -310,6 +310,37 @@ def test_block_pairs_keep_their_tasks(spark):
     assert task.distinct().count() > 4
 
 
+def test_a_task_holds_bands_of_blocks(spark):
+    """Sixty blocks and more make eight bands, so a row is sent eight times; every pair of points meets once."""
+    import pandas as pd
+
+    v = np.random.default_rng(2).normal(size=(300, 2))
+    blocked = nb.in_blocks(frame(spark, v).withColumnRenamed("vec", "v"), 5)
+    assert blocked.select("block").distinct().count() > 50
+    met = lambda x, y: pd.DataFrame({"g": ["g"], "n": [len(x) * (len(x) - 1) // 2 if y is None else len(x) * len(y)]})
+    total = lambda f: f.groupby("g", as_index=False).sum()
+    cells = nb.block_pairs(blocked, None, met, "g string, n long", merge=total).collect()
+    assert len(cells) <= 36 and sum(r.n for r in cells) == 300 * 299 // 2
+
+
+def test_forests_of_a_task_are_one_forest():
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    links = pd.DataFrame([("g", 0, -1, *sorted(rng.choice(40, 2, replace=False).tolist()), float(rng.integers(1, 6))) for _ in range(200)], columns=["g", "e", "m", "a", "b", "w"])
+    touch = pd.DataFrame([("g", 0, 3, 7, 8, 0.0)] * 2, columns=links.columns)
+    got = dn._thinned(pd.concat([links, touch]))
+    assert (got["m"] >= 0).sum() == 1 and (got["m"] < 0).sum() <= 39
+    for m in range(1, 6):
+        labels = []
+        for f in (links, got[got["m"] < 0]):
+            forest = dn.Forest(40)
+            for a, b in f.loc[f["w"] >= m, ["a", "b"]].to_numpy().tolist():
+                forest.join(a, b)
+            labels.append(forest.labels().tolist())
+        assert labels[0] == labels[1]
+
+
 def test_grid_sizes_equal_the_rows_of_every_cell(spark):
     rng = np.random.default_rng(4)
     v = np.concatenate([rng.normal(c, 0.15, (40, 2)) for c in ((0, 0), (1, 1))] + [np.repeat([[3.0, 3.0]], 9, axis=0), [[9.0, 9.0]]])
