@@ -372,24 +372,30 @@ def corrections(vocabulary: DataFrame, rare: int = 2, ratio: int = 10) -> DataFr
 
     best = F.max(F.struct("n", "word")).alias("b")
     open_, given = cuts(asked), cuts(answers)
-    changed = open_.join(given.groupBy("at", "rest").agg(best), ["at", "rest"]).select("word", "n", "b")
-    longer = asked.join(given.groupBy(F.col("rest").alias("word")).agg(best), "word").select("word", "n", "b")
-    shorter = open_.join(answers.select(F.col("word").alias("rest"), F.struct("n", F.col("word")).alias("b")), "rest").select(
+    # frequent words are far fewer than rare ones: hashed, they need no sort of the askers' keys
+    changed = open_.join(given.groupBy("at", "rest").agg(best).hint("shuffle_hash"), ["at", "rest"]).select("word", "n", "b")
+    longer = asked.join(given.groupBy(F.col("rest").alias("word")).agg(best).hint("shuffle_hash"), "word").select("word", "n", "b")
+    shorter = open_.join(answers.select(F.col("word").alias("rest"), F.struct("n", F.col("word")).alias("b")).hint("shuffle_hash"), "rest").select(
         "word", "n", "b")
     found = changed.unionByName(longer).unionByName(shorter).where(F.col("b.n") >= F.col("n") * ratio)
     return found.groupBy("word").agg(F.max("b").alias("b")).select("word", F.col("b.word").alias("suggestion"))
 
 
 def correct_texts(texts: DataFrame, fixes: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """key, corrected text for the texts a correction changes; spacing is kept.  Only
-    texts that hold a word with a correction are taken apart and put together again."""
+    """key, corrected text for the texts a correction changes; spacing is kept.  A text meets its
+    own corrections as one map and is put together where it stands, so its parts are no rows.
+    Rows that share a key are one text, their parts in turn."""
     word_or_gap = rf"{tx.WORD}|[^\p{{L}}\p{{N}}_]+"
-    held = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(tx.WORD), F.lit(0)))).alias("word"))
-    touched = held.join(fixes, "word", "left_semi").select(key).distinct()
-    parts = texts.join(touched, key, "left_semi").select(key, F.posexplode(F.regexp_extract_all(text, F.lit(word_or_gap), F.lit(0))).alias("i", "part"))
-    touched = parts.withColumn("word", F.lower("part")).join(fixes, "word", "left")
-    whole = touched.groupBy(key).agg(
-        F.count("suggestion").alias("changes"),
-        F.sort_array(F.collect_list(F.struct("i", F.coalesce("suggestion", "part").alias("part")))).alias("p"))
-    return whole.where("changes > 0").select(
-        key, F.array_join(F.transform("p", lambda t: t["part"]), "").alias("corrected_text"))
+    said = texts.where(F.col(key).isNotNull()).select(key, F.col(text).alias("text"))
+    several = cut(said.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0)), F.lower))
+    fix = fixes.groupBy("word").agg(F.max("suggestion").alias("suggestion")).where("suggestion IS NOT NULL")
+    # the corrections are the small side: hashed, they need no sort of the words or texts that meet them
+    met = said.select(key, F.explode(words).alias("word")).join(fix.hint("shuffle_hash"), "word")
+    found = cut(met.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("word", "suggestion"))).alias("fix")))
+    corrected = lambda t: F.transform(F.regexp_extract_all(t, F.lit(word_or_gap), F.lit(0)), lambda p: F.coalesce(F.try_element_at("fix", F.lower(p)), p))
+    lone = said.join(several, key, "left_anti").join(found.hint("shuffle_hash"), key).select(key, corrected(F.col("text")).alias("p"))
+    shared = said.join(several, key, "left_semi").where("text IS NOT NULL").join(found, key).groupBy(key).agg(F.collect_list("text").alias("said"), F.first("fix").alias("fix"))
+    placed = F.transform("said", lambda t: F.transform(corrected(t), lambda p, i: F.struct(i.alias("i"), p.alias("p"))))
+    shared = shared.select(key, F.transform(F.sort_array(F.flatten(placed)), lambda x: x["p"]).alias("p"))
+    return lone.unionByName(shared).select(key, F.array_join("p", "").alias("corrected_text"))

@@ -37,3 +37,24 @@ def test_texts_per_noun_are_dealt_by_part(spark):
     assert not shuffles(out, "noun")
     got = {(r.noun, r.part): (r.n, r.joined) for r in out.collect()}
     assert got == {("x", 0): (2, "t0. t1"), ("x", 1): (2, "t2. t3"), ("x", 2): (1, "t4"), ("y", 0): (1, "t1"), ("y", 1): (1, "t3")}
+
+
+def test_corrected_texts_are_put_together_in_their_row(spark):
+    rows = [(1, "god phone, Phone!"), (2, "good"), (3, None), (4, "a god"), (4, "xyz phne"), (None, "god"), (5, "phne god god")]
+    fixes = spark.createDataFrame([("god", "good"), ("phne", "phone")], "word string, suggestion string")
+    out = tf.correct_texts(spark.createDataFrame(rows, "id long, text string"), fixes)
+    assert "posexplode" not in out._jdf.queryExecution().executedPlan().toString()
+    # the rows of id 4 are one text: their first parts, their second parts, ...
+    assert {r.id: r.corrected_text for r in out.collect()} == {1: "good phone, Phone!", 4: "axyz  goodphone", 5: "phone good good"}
+
+
+def test_rare_words_are_not_sorted(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = spark.createDataFrame([("phone", 50), ("phne", 1), ("phonee", 2), ("phane", 1)], "word string, n long")
+        found = tf.corrections(words)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in found.collect()} == {(w, "phone") for w in ("phne", "phonee", "phane")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
