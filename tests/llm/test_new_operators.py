@@ -220,3 +220,13 @@ def test_passages_of_no_rows_and_a_long_text(spark, make_docs):
     assert passages.remove_passages(make_docs([(1, "a")]).limit(0), digest=True).count() == 0
     rows = [(2, " ".join(map(str, range(400_000)))), (1, " ".join(map(str, range(1000, 1060))))]
     assert sorted(tuple(r)[:3] for r in passages.remove_passages(make_docs(rows), digest=True).collect()) == [(1, 60, 0), (2, 400_000, 60)]
+
+
+def test_only_texts_with_a_passage_are_dealt_again(spark, make_docs, monkeypatch):
+    said, tables = " ".join(f"w{i}" for i in range(60)), []
+    rows = [(1, f"a {said}"), (2, f"{said} b"), *[(i, f"{i} " * 70) for i in range(10, 30)], (None, "short")]
+    real = passages.written
+    monkeypatch.setattr(passages, "written", lambda df: tables.append(real(df)) or tables[-1])
+    got = passages.remove_passages(make_docs(rows), digest=True).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_passages(rows)
+    assert {r.key for r in tables[-1].where("raw IS NOT NULL").collect()} <= {1, 2}
