@@ -62,7 +62,8 @@ class Pair:
         self.size_a, self.size_b = (np.array([len(t.get(i, b"")) for i in range(max(t) + 1)], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.vocabulary = max(len(self.size_a), len(self.size_b))
         self.written = [f"{i}{mark}".encode() for mark in ",|;" for i in range(self.vocabulary)]
-        self.known: dict[str, tuple[bool, int, int, int, bytes, bytes]] = {}
+        #: A word's ``Aligned`` as one run of bytes: four numbers, its links, its groups.
+        self.known: dict[str, bytes] = {}
         #: No piece holds a blank behind other characters, so none crosses a word's beginning.
         self.apart = not any("▁" in p.lstrip("▁") for p in pieces)
 
@@ -82,13 +83,16 @@ class Pair:
         new = [w for w in words if w not in self.known]
         for at in range(0, len(new), 8192):
             made = self.align_new(new[at:at + 8192])
+            numbers = np.stack([made.ok, made.n_a, made.n_b, made.n_links], 1).astype(np.int64).tobytes()
             raw = made.links.tobytes()
             ends = (8 * np.cumsum(made.n_links)).tolist()
-            cells = zip(made.ok.tolist(), made.n_a.tolist(), made.n_b.tolist(), made.n_links.tolist(), made.groups, [raw[a:b] for a, b in zip([0, *ends], ends)])
+            cells = [numbers[32 * i:32 * i + 32] + raw[a:b] + g for i, (a, b, g) in enumerate(zip([0, *ends], ends, made.groups))]
             self.known.update(zip(new[at:at + 8192], cells))
-        ok, n_a, n_b, n_links, groups, links = zip(*map(self.known.__getitem__, words)) if words else ((),) * 6
-        whole = [np.array(x, np.int64) for x in (n_a, n_b, n_links)]
-        return Aligned(np.array(ok, bool), *whole, list(groups), np.frombuffer(b"".join(links), np.int64))
+        cells = list(map(self.known.__getitem__, words))
+        ok, n_a, n_b, n_links = np.frombuffer(b"".join(c[:32] for c in cells), np.int64).reshape(-1, 4).T
+        tails = (32 + 8 * n_links).tolist()
+        links = np.frombuffer(b"".join(c[32:t] for c, t in zip(cells, tails)), np.int64)
+        return Aligned(ok.astype(bool), n_a, n_b, n_links, [c[t:] for c, t in zip(cells, tails)], links)
 
     def align_new(self, words: list[str]) -> Aligned:
         encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
@@ -152,14 +156,14 @@ ALIGNED = f"batch long, text_sha binary, {MEASURES}, words binary, a binary, b b
 def align_batch(pair: Pair, batch: int, shas: list[bytes], texts: list[str], copies: list[int]) -> pd.DataFrame:
     """A row for every text, with its words as numbers, and one for the batch: its
     distinct pairs with their links over all documents, and each word's pairs."""
-    split = [pair.words(t) for t in texts]
-    number = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
+    number: dict[str, int] = {}
+    split = [np.array([number.setdefault(w, len(number)) for w in pair.words(t)], np.int64) for t in texts]
     distinct = list(number)
+    del number
     made = pair.align(distinct)
     ok, size_a, size_b, n_links, groups = made.ok, made.n_a, made.n_b, made.n_links, made.groups
     weight, rows = np.zeros(len(distinct), np.int64), []
-    for sha, words, n in zip(shas, split, copies):
-        own = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    for sha, own, n in zip(shas, split, copies):
         if not ok[own].all():
             rows.append((batch, sha, 0, 0, 0, 0, "", b""))
             continue

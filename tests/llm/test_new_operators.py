@@ -147,6 +147,18 @@ def test_alignment_of_long_texts_and_no_rows(spark, make_docs):
     assert sorted((tuple(r) for r in alignment.align(make_docs(rows), *PATHS).collect()), key=repr) == brute_alignment(rows)
 
 
+def test_known_words_are_one_run_of_bytes():
+    """A worker remembers hundreds of thousands of words: each is one value, not a tuple of six."""
+    pair = alignment.Pair(*PATHS)
+    words = pair.words("many words, many more words\n and ñandú \u2603 <s>") + ["  ", " many"]
+    made, want = pair.align(words), pair.align_new(words)
+    for c in ("ok", "n_a", "n_b", "n_links", "links"):
+        assert getattr(made, c).tolist() == getattr(want, c).tolist()
+    assert made.groups == want.groups and made.ok.dtype == bool
+    assert all(type(x) is bytes for x in pair.known.values())
+    assert pair.align([]).groups == []
+
+
 # --- passages ---
 
 
