@@ -16,11 +16,16 @@ def digest(word, digits):
     return F.conv(F.substring(F.md5(word), 1, digits), 16, 10).cast("long")
 
 
-def word_vectors(t):
-    """word, vec: every word of the corpus takes the vector that its digest picks."""
+def picked_vectors(t):
+    """(word, id; id, vec): every word of the corpus takes the vector that its digest picks."""
     n = t.embeddings.agg(F.count("*")).scalar()
-    words = t.vocabulary.select("word", (digest(F.col("word"), 6) % n).alias("id"))
-    return words.join(t.vectors.select("id", "vec"), "id").select("word", "vec")
+    return t.vocabulary.select("word", (digest(F.col("word"), 6) % n).alias("id")), t.vectors.select("id", "vec")
+
+
+def word_vectors(t):
+    """word, vec of :func:`picked_vectors`."""
+    words, vectors = picked_vectors(t)
+    return words.join(vectors, "id").select("word", "vec")
 
 
 WORD_VECTORS = """wv AS (SELECT word, vec FROM (SELECT word, CAST('0x' || md5(word)[:6] AS BIGINT) % (SELECT count(*) FROM embeddings) AS id FROM vocabulary)
@@ -78,7 +83,25 @@ def _(t):
 def sentence_vectors(t):
     """id, spos, sentence, vec: every sentence with the mean of its words' vectors."""
     said = t.sentences.select("id", "spos", "sentence")
-    return wvm.mean_vectors(said, ["id", "spos"], "sentence", word_vectors(t)).where(F.col("vec").isNotNull()).drop("n_known")
+    return wvm.mean_vectors(said, ["id", "spos"], "sentence", *picked_vectors(t)).where(F.col("vec").isNotNull()).drop("n_known")
+
+
+def unembedded_sentences(t):
+    """(means; id, spos, sentence, vec): the sentences, with a vector only where several share their
+    id and place; :func:`embedded` gives the others theirs."""
+    means, keys = wvm.WordMeans(*picked_vectors(t)), ["id", "spos"]
+    said = t.sentences.select(*keys, "sentence").where("id IS NOT NULL")
+    lone, shared = means.parted(said, keys)
+    told = means.together(shared if means.held else said, keys, "sentence").where("vec IS NOT NULL").select(*keys, "sentence", "vec")
+    return means, lone.withColumn("vec", F.lit(None).cast("array<double>")).unionByName(told) if means.held else told
+
+
+def embedded(means, rows):
+    """id, spos, sentence, vec of the sentences that have a vector."""
+    if not means.held:
+        return rows
+    found = means.alone(rows.withColumnRenamed("vec", "told"), "sentence", F.col("told").isNull())
+    return found.withColumn("vec", F.coalesce("told", "vec")).where("vec IS NOT NULL").select("id", "spos", "sentence", "vec")
 
 
 SENTENCE_LABELS = r"""picked AS (SELECT word, CAST('0x' || md5(word)[:6] AS BIGINT) % (SELECT count(*) FROM embeddings) AS vid FROM vocabulary),
