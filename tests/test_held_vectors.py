@@ -62,3 +62,22 @@ def test_files_of_a_stream_hold_no_vectors_but_those_of_shared_keys(spark, tmp_p
     want = {(r.id, r.spos, r.sentence): r.vec for r in qv.sentence_vectors(t).collect()}
     got = {(r.id, r.spos, r.sentence): r.vec for r in qv.embedded(means, files).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("held", [wv.HELD_BYTES, 0])
+def test_learned_vectors_are_the_same_packed_and_joined(spark, monkeypatch, held):
+    """A block that a task holds needs no table of pairs, whichever word of a pair comes first."""
+    from tests.test_wordvectors import corpus
+
+    monkeypatch.setattr(wv, "STEP_PAIRS", 50)
+    if held:  # counts are packed where they are made
+        monkeypatch.setattr(wv, "cooccurrences", None)
+        monkeypatch.setattr(wv, "_times", None)
+    df = spark.createDataFrame([*corpus(150), (9000, "a1 a1 a1 a1"), (9001, None), (9002, "a2")], "id long, text string")
+    got = {r.word: np.array(r.vec) for r in wv.word_vectors(df, "text", size=3, rounds=6, shift=1.2, held=held).collect()}
+    monkeypatch.undo()
+    found, values = wv.eigenvectors(wv.positive_information(wv.cooccurrences(df, "text", wv.frequent_words(df, "text")), 1.2), 3, rounds=6)
+    want = {r.word: np.array(r.vec) * np.sqrt(np.abs(values)) for r in found.collect()}
+    names = sorted(want)
+    a, b = (np.stack([x[w] for w in names]) for x in (got, want))
+    assert got.keys() == want.keys() and np.abs(a @ a.T) == pytest.approx(np.abs(b @ b.T), abs=1e-6)
