@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,18 @@ def _sentence_rows(tokens: DataFrame | Annotated, keys: list[str], wanted: DataF
     return rows if wanted is None else rows.join(wanted, keys)
 
 
+def parent_texts(tokens: DataFrame | Annotated, keys: list[str]) -> DataFrame:
+    """keys, pos, text, parent: every token below another with the text of that one.  A token finds
+    its parent inside its sentence's row; where sentences share their keys, each at that place."""
+    rows = _sentence_rows(tokens, keys).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    tk = F.col("tk")
+    alone = F.size(tk) == F.element_at(tk, -1)["pos"] + 1
+    above = lambda t: F.when(alone, F.array(F.get(tk, t["head"]))).otherwise(F.filter(tk, lambda p: p["pos"] == t["head"]))
+    below = F.filter(tk, lambda t: t["head"] != t["pos"])
+    found = F.flatten(F.transform(below, lambda t: F.transform(above(t), lambda p: F.struct(t["pos"].alias("pos"), t["text"].alias("text"), p["text"].alias("parent")))))
+    return rows.where(F.size(tk) > 0).select(*keys, F.explode(found).alias("x")).select(*keys, "x.*")
+
+
 def _in_clauses(tokens: DataFrame | Annotated, keys: list[str], stop: Column | None, fallback: bool) -> DataFrame:
     """Sentences with ``x``, their tokens ``t`` that belong to a clause head ``clause``.
 

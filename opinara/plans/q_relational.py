@@ -9,6 +9,7 @@ from opinara.functions import text as tx
 from opinara.operators import aspects as asp
 from opinara.operators import phrases as ph
 from opinara.operators import tables as tb
+from opinara.operators import textflow as tf
 from opinara.plans.registry import query
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -173,8 +174,7 @@ def _(t):
 @query("j9_parent_token", """SELECT c.id, c.spos, c.pos, c.text, p.text AS parent FROM tokens c JOIN tokens p
     ON p.id = c.id AND p.spos = c.spos AND p.pos = c.head WHERE c.pos <> c.head""")
 def _(t):
-    up = t.tokens.select("id", "spos", F.col("pos").alias("head"), F.col("text").alias("parent"))
-    return t.tokens.where("pos <> head").join(up, ["id", "spos", "head"]).select("id", "spos", "pos", "text", "parent")
+    return tf.parent_texts(t.annotated, ["id", "spos"])
 
 
 @query("j10_word_dictionary", """SELECT id, spos, wpos, word FROM words WHERE word NOT IN (SELECT word FROM stop_words)""")
